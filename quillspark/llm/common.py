@@ -89,11 +89,11 @@ def text_buffers(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     return buf, offs
 
 
-def slices(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of at most SLICE_BYTES, or one row."""
+def slices(buf: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of at most so many bytes, or one row."""
     n, i = len(offs) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
