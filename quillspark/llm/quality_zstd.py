@@ -13,14 +13,14 @@ the first by a hash of doc_id, half of them for the dictionaries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from .common import materialize, pick, sized_broadcast
 
@@ -131,14 +131,11 @@ def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     and stays; so does every text if the model has no dictionaries. A null or
     unknown language takes the model of all languages. Columns of these names are
     replaced, others left as they are."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: dict[str, tuple] = {}
 
-    @F.pandas_udf(StructType([StructField("difference", DoubleType()), StructField("p_good", DoubleType())]))
-    def judge(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("difference double, p_good double", PandasUDFType.SCALAR)
+    def judge(text, lang):
         m = shared.value
         diff, prob = [], []
         for t, x in zip(text, lang):
