@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy kernels; bounds their temporaries.
@@ -70,6 +70,16 @@ def sized_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> D
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def bounded_sample(df: DataFrame, by: list[str], most: int, key: Column) -> DataFrame:
+    """About `most` rows of each group, all of a smaller one, by a hash of key; no
+    shuffle of the rows. by: columns of few values, whose counts are broadcast."""
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    x = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 11) / F.lit(float(1 << 53)))
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return x.join(F.broadcast(n.select(*keys, "__n")), on).where(F.col("__h") * F.col("__n") < most).select(*df.columns)
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that extra ones can't clash with an operator's."""
     return docs.select(*(F.col(n) for n in names))

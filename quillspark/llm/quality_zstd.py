@@ -7,8 +7,8 @@ only the first of a long text; (bytes with bad - bytes with good) / (bytes +
 logistic curve, fitted for each language on labelled texts that no dictionary has
 seen, makes it the probability that the text is good.
 
-Only fitting is bounded: `per_class` labelled texts of each language and class,
-the first by a hash of doc_id, half of them for the dictionaries.
+Only fitting is bounded: about `per_class` labelled texts of each language and
+class, by a hash of doc_id, half of them for the dictionaries.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import materialize, pick, sized_broadcast
+from .common import bounded_sample, materialize, pick, sized_broadcast
 
 PER_CLASS, DICT_BYTES, BLOCK, LEVEL, PRIOR = 2000, 64 << 10, 1024, 3, 100
 #: A text is rejected below this probability of being good.
@@ -112,9 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     quality, and labelled documents without text, are left out."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = pick(docs, "doc_id", "lang").where("doc_id is not null").join(chosen, "doc_id")
-    by = Window.partitionBy("lang", "quality").orderBy("h", "doc_id")
-    ids = ids.withColumn("h", F.md5(F.col("doc_id").cast("string"))).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class)
-    ids = materialize(ids.select("doc_id", "quality"))  # bounded by per_class
+    ids = materialize(bounded_sample(ids, ["lang", "quality"], per_class, F.col("doc_id")).select("doc_id", "quality"))
     texts = pick(docs, "doc_id", "lang", "text").join(sized_broadcast(ids, 32), "doc_id").where("text is not null and text <> ''")
     rows = sorted({(r.doc_id, r.lang, r.quality, r.text) for r in texts.collect()}, key=lambda r: (hash_order(r[0]), r[3]))
     return fit_rows([r[1:] for r in rows])

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, ngram_join, perplexity, quality_zstd, token_count, token_output
+from . import decontam, html_tree, line_dedup, mixing, ngram_join, perplexity, quality_zstd, token_count, token_output, url_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_zstd.classify(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -41,9 +45,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_bitmaps(_table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.perplexity_bands(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_token_output, op5_ngram_jaccard, op6_decontamination, op7_token_counts, op8_line_dedup, op10_perplexity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html, op3_quality, op4_token_output, op5_ngram_jaccard, op6_decontamination, op7_token_counts, op8_line_dedup, op9_urls, op10_perplexity)}
 SQL = {"op1_mixing": mixing.SQL}

@@ -97,7 +97,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", sort: tuple[str, ...] = ("source", "lang", "doc_id"), row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
-    """Writes tokens, each file sorted by `sort` (no shuffle), with the encoding of
+    """Writes tokens, each file sorted by `sort` (no shuffle; in the order they come
+    if it's empty), with the encoding of
     the ids, the row-group and the page sizes as given."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
@@ -110,7 +111,7 @@ def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", sor
         "parquet.page.size": str(page_bytes),
         "parquet.page.row.count.limit": str(page_rows),
     }
-    tokens.sortWithinPartitions(*sort).write.options(**options).parquet(path)
+    (tokens.sortWithinPartitions(*sort) if sort else tokens).write.options(**options).parquet(path)
 
 
 def read_metadata(tokens: DataFrame) -> DataFrame:
@@ -118,11 +119,11 @@ def read_metadata(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "source", "lang", "n_tokens")
 
 
-def token_output(docs: DataFrame, vocabulary: str | None = None, encoding: str = "dictionary") -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str | None = None, encoding: str = "dictionary", sort: tuple[str, ...] = ("source", "lang", "doc_id")) -> DataFrame:
     """The token table of docs, written to the shared folder and read from there."""
     spark = docs.sparkSession
     path, made = shared_dir(spark), encode(docs, vocabulary)
-    write_tokens(made, path, encoding)
+    write_tokens(made, path, encoding, sort)
     _written.append((spark, path))
     return spark.read.schema(made.schema).parquet(path)
 
