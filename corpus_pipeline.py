@@ -1,12 +1,57 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token output.
+
+Every stage reads what its predecessor wrote, as a whole, and drops or orders
+documents by its operator's decisions; all but the last keep the columns of
+documents. Nulls, empty texts, repeated rows and clashing columns are handled as
+the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import decontam, mixing, ngram_join, quality_zstd, token_output
 from quillspark.llm.common import materialize
+from quillspark.session import ship
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject. It's fitted on the labelled ones among docs."""
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_zstd.classify(docs, labels).where("keep").select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least doc_id, and all without any."""
+    ship(spark)
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of benchmark."""
+    return decontam.decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents range-sorted by training position; those of a source that's asked for more than it has come again."""
+    ship(spark)
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token table (doc_id, source, lang, n_tokens, tokens), rows left in training order."""
+    ship(spark)
+    return token_output.token_output(docs, sort=())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_id_output),
+]
+#: SQL can't express the first stage; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
