@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,3 +42,16 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors see. On
+    one machine, where the session names none, a folder is chosen and set."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/x-{uuid.uuid4().hex}"
