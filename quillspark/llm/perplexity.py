@@ -118,10 +118,10 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
     for n in range(1, order + 1):
         t = tables[n]
         k = [F.sum((F.col("c") == i).cast("double")) for i in (1, 2, 3, 4)]
-        d = t.groupBy("lang").agg(*(x.alias(f"t{i}") for i, x in enumerate(k, 1))).withColumn("y", F.col("t1") / (F.col("t1") + 2 * F.col("t2")))
+        d = t.groupBy("lang").agg(*(x.alias(f"t{i}") for i, x in enumerate(k, 1))).withColumn("y", F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2")))
         usable = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0) & (F.col("t4") > 0)
         for i, plain in ((1, 0.5), (2, 1.0), (3, 1.5)):
-            value = F.lit(float(i)) - (i + 1) * F.col("y") * F.col(f"t{i + 1}") / F.col(f"t{i}")
+            value = F.lit(float(i)) - (i + 1) * F.col("y") * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}"))
             d = d.withColumn(f"d{i}", F.when(usable & (value > 0) & (value < i), value).otherwise(F.lit(plain)))
         x = t.join(F.broadcast(d.select("lang", "d1", "d2", "d3")), "lang").withColumn("context", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
         context = x.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"))).alias("freed"), F.count("*").alias("kinds"))
@@ -290,14 +290,14 @@ def score_join(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
 
 def judge(scores: DataFrame, width: float = WIDTH, least_chars: int = LEAST_CHARS, inflation: float = INFLATION) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, lower, upper, keep) from scores."""
-    x = scores.withColumn("h", F.when(F.col("n_chars") > 0, -F.col("log_p") / F.col("n_chars")))
-    x = x.withColumn("v", F.greatest(F.lit(0.0), F.col("squares") / F.col("n_chars") - F.col("h") * F.col("h")))
+    x = scores.withColumn("h", F.try_divide(-F.col("log_p"), F.col("n_chars")))
+    x = x.withColumn("v", F.greatest(F.lit(0.0), F.try_divide(F.col("squares"), F.col("n_chars")) - F.col("h") * F.col("h")))
     long = F.when(F.col("n_chars") >= least_chars, F.col("h"))
     mid = x.groupBy("lang").agg(F.coalesce(F.percentile_approx(long, 0.5, 10000), F.percentile_approx("h", 0.5, 10000)).alias("mid"), F.avg("v").alias("tau"))
     off = x.join(F.broadcast(mid), "lang")  # a row for each language
     spread = off.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("n_chars") >= least_chars, F.abs(F.col("h") - F.col("mid"))), 0.5, 10000), F.lit(0.0)).alias("mad"))
     y = off.join(F.broadcast(spread), "lang")
-    half = width * F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + inflation * F.col("tau") / F.col("n_chars"))
+    half = width * F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.try_divide(inflation * F.col("tau"), F.col("n_chars")))
     y = y.withColumn("half", half)
     bound = lambda sign: F.exp(F.col("mid") + sign * F.col("half"))
     return y.select("doc_id", "lang", "n_chars", F.exp("h").alias("perplexity"), bound(-1).alias("lower"), bound(1).alias("upper"), F.coalesce(F.abs(F.col("h") - F.col("mid")) <= F.col("half"), F.lit(True)).alias("keep"))
