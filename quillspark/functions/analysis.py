@@ -28,6 +28,18 @@ def _matches(pattern: str) -> Step:
     return lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that a lambda inside f may use often, but which is made once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _windows(items: Column, least: int, most: int, separator: str) -> Column:
+    """Runs of least to most items, joined, by start, then size."""
+    n = F.size(items)
+    at = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).when(items.isNotNull(), F.array().cast("array<int>"))
+    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(items, i, k), separator))))
+
+
 # --- tokenisers ---------------------------------------------------------------
 
 standard: Step = _matches(_WORDS)
@@ -44,9 +56,7 @@ def ngrams(least: int, most: int) -> Step:
     """Every substring of least to most characters, by start, then length."""
 
     def run(s: Column) -> Column:
-        n = F.length(s)
-        at = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).when(s.isNotNull(), F.array().cast("array<int>"))
-        return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), n - i + 1)), lambda k: F.substring(s, i, k))))
+        return bound(F.filter(F.split(s, ""), lambda c: c != ""), lambda chars: _windows(chars, least, most, ""))
 
     return run
 
@@ -126,10 +136,7 @@ def shingles(least: int = 2, most: int = 2, unigrams: bool = True, separator: st
     """Runs of least to most tokens, by start, then size; after the single tokens, if wanted."""
 
     def run(toks: Column) -> Column:
-        n = F.size(toks)
-        at = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).when(toks.isNotNull(), F.array().cast("array<int>"))
-        made = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(toks, i, k), separator))))
-        return F.concat(toks, made) if unigrams else made
+        return bound(toks, lambda t: F.concat(t, _windows(t, least, most, separator)) if unigrams else _windows(t, least, most, separator))
 
     return run
 
@@ -144,15 +151,18 @@ def word_delimiter(case_changes: bool = True, numerics: bool = True, preserve: b
         cuts += [r"(?<=\p{Ll})(?=\p{Lu})", r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})"]
     pattern = "|".join([r"[^\p{L}\p{Nd}]+", *cuts])
 
+    empty = F.array().cast("array<string>")
+
+    def joined(found: Column, number: bool) -> Column:
+        own = F.filter(found, lambda p: p.rlike(r"^\p{Nd}") if number else ~p.rlike(r"^\p{Nd}"))
+        return F.when(F.size(own) > 1, F.array(F.array_join(own, ""))).otherwise(empty)
+
     def parts(t: Column) -> Column:
-        found = F.filter(F.split(t, pattern), lambda p: p != "")
-        out = [F.array(t)] if preserve else []
-        out.append(found)
-        for wanted, number in ((join_words, False), (join_numbers, True)):
-            if wanted:
-                own = F.filter(found, lambda p: p.rlike(r"^\p{Nd}") if number else ~p.rlike(r"^\p{Nd}"))
-                out.append(F.when(F.size(own) > 1, F.array(F.array_join(own, ""))).otherwise(F.array().cast("array<string>")))
-        return F.concat(*out)
+        # a pattern is compiled once by a replacement, but for each value by a split
+        found = F.filter(F.split(F.regexp_replace(t, pattern, "\x01"), "\x01"), lambda p: p != "")
+        first = [F.array(t)] if preserve else []
+        wanted = [number for number, on in ((False, join_words), (True, join_numbers)) if on]
+        return bound(found, lambda f: F.concat(*first, f, *(joined(f, number) for number in wanted)))
 
     return lambda toks: F.flatten(F.transform(toks, parts))
 

@@ -45,8 +45,8 @@ def facets(hits: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:
 
 
 def _values(hits: DataFrame, docs: DataFrame, field: str) -> DataFrame:
-    v = F.explode(field) if _is_array(docs, field) else F.col(field)
-    return stored(hits.select(DOC), docs, field).select(v.cast("double").alias("v")).where("v is not null")
+    x = stored(hits.select(DOC), docs, field).select(F.explode(field).alias("v") if _is_array(docs, field) else F.col(field).alias("v"))
+    return x.select(F.col("v").cast("double").alias("v")).where("v is not null")
 
 
 def stats(hits: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:

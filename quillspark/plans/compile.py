@@ -117,8 +117,8 @@ def _places(index: Index, field: str, words: list[str]) -> DataFrame:
 
 
 def _reached(places: Column, before: Column, near: Callable[[Column, Column], Column]) -> Column:
-    """The places that are near one of those before."""
-    return F.filter(places, lambda p: F.exists(before, lambda r: near(p, r)))
+    """The places that are near one of those before, which are bound to a name so as to be made once."""
+    return F.transform(F.array(before), lambda b: F.filter(places, lambda p: F.exists(b, lambda r: near(p, r))))[0]
 
 
 def _phrase(index: Index, q: Q.Phrase) -> DataFrame:
