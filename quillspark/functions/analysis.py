@@ -151,11 +151,9 @@ def word_delimiter(case_changes: bool = True, numerics: bool = True, preserve: b
         cuts += [r"(?<=\p{Ll})(?=\p{Lu})", r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})"]
     pattern = "|".join([r"[^\p{L}\p{Nd}]+", *cuts])
 
-    empty = F.array().cast("array<string>")
-
     def joined(found: Column, number: bool) -> Column:
         own = F.filter(found, lambda p: p.rlike(r"^\p{Nd}") if number else ~p.rlike(r"^\p{Nd}"))
-        return F.when(F.size(own) > 1, F.array(F.array_join(own, ""))).otherwise(empty)
+        return F.when(F.size(own) > 1, F.array(F.array_join(own, ""))).otherwise(F.array().cast("array<string>"))
 
     def parts(t: Column) -> Column:
         # a pattern is compiled once by a replacement, but for each value by a split

@@ -105,7 +105,7 @@ def postings_of(docs: DataFrame, text: dict[str, Analyser], exact: tuple[str, ..
     for f in exact:
         many = docs.schema[f].dataType.typeName() == "array"
         values = F.explode(F.array_distinct(F.col(f))) if many else F.col(f)
-        x = docs.select("doc_id", values.cast("string").alias("term")).where("term is not null and term <> ''")
+        x = docs.select("doc_id", values.alias("term")).select("doc_id", F.col("term").cast("string").alias("term")).where("term is not null and term <> ''")
         x = x.select(F.lit(f).alias("field"), "term", "doc_id", F.lit(1).alias("tf"), F.array().cast("array<int>").alias("positions"), F.lit(1).alias("dl"))
         made = x if made is None else made.union(x)
     return made
