@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, mix, pick, slices, text_buffers
+from .common import materialize, mix, pick, slices, text_buffers
 
 ORDER = 5
 #: Half-width of the band in robust standard deviations; texts that the spread is measured on; inflation of a text's own variance, as its characters aren't independent.
 WIDTH, LEAST_CHARS, INFLATION = 6.0, 200, 4.0
+#: A model of up to so many bytes goes to all executors as arrays; the documents' n-grams meet a larger one in a join.
+MODEL_BYTES = 256 << 20
 BOS = "\x02"
 _COUNT_BYTES = 2 << 20
 
@@ -163,13 +165,12 @@ class Arrays:
     shift: int
 
     @classmethod
-    def of(cls, keys: np.ndarray, p: np.ndarray, g: np.ndarray) -> Arrays:
+    def of(cls, keys: np.ndarray, logp: np.ndarray, logg: np.ndarray) -> Arrays:
         o = np.argsort(keys)
         keys = keys[o]
         bits = max(1, min(22, int(len(keys)).bit_length() + 1))
         starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return cls(keys, np.log(p[o]).astype(np.float32), np.log(g[o]).astype(np.float32), starts, 64 - bits)
+        return cls(keys, logp[o], logg[o], starts, 64 - bits)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, or -1."""
@@ -186,26 +187,29 @@ class Arrays:
         return np.where(self.keys[at] == h, at, -1)
 
 
-def gram_keys(langs: np.ndarray, grams: list[str], n: int) -> np.ndarray:
-    """The hashes of grams of n characters."""
-    if not n:
-        return np.array([mix(np.array([seed_of(x)]))[0] for x in langs], np.uint64)
-    flat = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
-    seeds = {x: seed_of(x) for x in set(langs)}
-    return gram_hash(flat, np.arange(len(grams)) * n + n - 1, n, np.array([seeds[x] for x in langs], np.uint64))
+def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, size, gram, p, g) to (size, key, logp, logg)."""
+    for batch in batches:
+        lang, size = batch.column(0).dictionary_encode(), np.asarray(batch.column(1)).astype(np.int64)
+        seeds = np.array([seed_of(x) for x in lang.dictionary.to_pylist()], np.uint64)[np.asarray(lang.indices)]
+        chars = np.frombuffer("".join(batch.column(2).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(size)
+        keys = np.empty(len(size), np.uint64)
+        for n in np.unique(size).tolist():
+            own = size == n
+            keys[own] = gram_hash(chars, ends[own] - 1, n, seeds[own])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = [np.log(np.asarray(batch.column(k).fill_null(np.nan))).astype(np.float32) for k in (3, 4)]
+        yield pa.record_batch([batch.column(1), pa.array(keys.view(np.int64)), *map(pa.array, logs)], ["size", "key", "logp", "logg"])
 
 
 def load_arrays(model: DataFrame, order: int = ORDER) -> list[Arrays]:
-    """The model's arrays by order, gathered on the driver to be broadcast."""
-    got = model.toArrow()
+    """The model's arrays by order, hashed on the executors and gathered on the driver to be broadcast; bounded by MODEL_BYTES."""
+    got = model.select("lang", "size", "gram", "p", "g").mapInArrow(_hasher, "size int, key bigint, logp float, logg float").toArrow()
     size = np.asarray(got["size"])
-    out = []
-    for n in range(order + 1):
-        part = got.filter(pa.array(size == n))
-        keys = gram_keys(np.array(part["lang"].to_pylist(), object), part["gram"].to_pylist(), n)
-        p = np.array([np.nan if v is None else v for v in part["p"].to_pylist()], float)
-        out.append(Arrays.of(keys, p, np.asarray(part["g"], float)))
-    return out
+    key, logp, logg = np.asarray(got["key"]).view(np.uint64), np.asarray(got["logp"]), np.asarray(got["logg"])
+    del got
+    return [Arrays.of(key[own], logp[own], logg[own]) for own in (size == n for n in range(order + 1))]
 
 
 def log_probabilities(arrays: list[Arrays], chars: np.ndarray, place: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
@@ -314,7 +318,7 @@ def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH,
     docs = pick(docs, "doc_id", "lang", "text")
     top = materialize(top_counts(docs, order))
     model = materialize(kneser_ney(top, order))
-    if model.count() * 20 <= BROADCAST_BYTES:
+    if model.count() * 16 <= MODEL_BYTES:
         scores = score_arrays(docs, load_arrays(model, order), order)
     else:
         scores = score_join(docs, model, order)
