@@ -248,8 +248,9 @@ def _scorer(shared, order: int):
                     seeds[x] = seed_of(x)
                 own = np.repeat(np.array([seeds[x] for x in lang[i:j]], np.uint64), np.diff(ends))
                 lp = log_probabilities(arrays, chars, place, own, order)
-                total, square = (np.diff(np.r_[0, np.cumsum(v)][ends]) for v in (lp, lp * lp))
                 n = np.diff(ends)
+                row = np.repeat(np.arange(j - i), n)
+                total, square = (np.bincount(row, v, j - i) for v in (lp, lp * lp))
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(lang[i:j], pa.string()), pa.array(n.astype(np.int64)), pa.array(total), pa.array(square)], ["doc_id", "lang", "n_chars", "log_p", "squares"])
 
     return run
