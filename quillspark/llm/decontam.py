@@ -2,11 +2,12 @@
 
 Training texts are read once; for each Arrow batch and each term of the test
 vocabulary the index stores a block of (documents, positions). Document
-frequencies come from the index. Of each window of `WINDOW` test words the rarest
-term's postings, shifted by its offset, give the places where the window could
-start; those of the second rarest, shifted likewise, must agree (to `SLOP` words,
-for proximity). Only documents that remain are read again, to tell an exact
-phrase of a window or more from a passage most of whose words are near.
+frequencies come from the index. A test item is cut into blocks so short that any
+match leaves one of them as it is. Of each block the rarest term's postings,
+shifted by its offset, give the places where the item could start; those of the
+second rarest, shifted likewise, must agree. Only documents that remain are read
+again, to tell an exact phrase of `WINDOW` words or more from a passage most of
+whose words are near.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, list_array, materialize, pick, sized_broadcast, slices, text_buffers, words
@@ -85,19 +86,23 @@ def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     return index.join(sized_broadcast(terms, 16), "term", "left_semi").select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("positions").alias("position"))))
 
 
-def rarest_terms(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """(item_id, o1, t1, o2, t2): for each window of an item's words the offset and
-    hash of its two rarest terms. A window with a term that the index lacks can't
-    be a phrase, but its rarest two present ones may anchor a proximity match."""
+def block_size(m: Column, share: float) -> Column:
+    """The most words, 4 at most, in blocks of which an item of m words has more
+    than words that may differ; so that a match leaves some block as it is."""
+    differ = F.floor((1 - share) * m + 1e-9)
+    fits = lambda n: F.floor(m / n) > differ
+    return F.when(fits(4), 4).when(fits(3), 3).otherwise(2)
+
+
+def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE) -> DataFrame:
+    """(item_id, o1, t1, o2, t2): for each block of an item's words the offset and
+    hash of its two rarest terms. Blocks with a term that the index lacks stand nowhere."""
     df = index.groupBy("term").agg(F.sum("n_docs").alias("df"))
-    at = items.select("item_id", "m", F.posexplode("terms").alias("offset", "term")).join(df, "term")
-    w = F.least(F.lit(window), F.col("m"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - w + 1), F.least(F.col("offset"), F.col("m") - w))
-    x = at.select("item_id", "offset", "term", "df", F.explode(starts).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "start").orderBy("df", "offset"))
-    x = x.withColumn("rank", rank).where("rank <= 2")
-    pair = x.groupBy("item_id", "start").agg(*(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c[0]}{r}") for r in (1, 2) for c in ("offset", "term")))
-    return pair.where("t2 is not null").select("item_id", "o1", "t1", "o2", "t2").distinct()
+    at = items.withColumn("size", block_size(F.col("m"), share)).select("item_id", "m", "size", F.posexplode("terms").alias("offset", "term")).join(df, "term")
+    x = at.withColumn("block", F.floor(F.col("offset") / F.col("size"))).where(F.col("block") < F.floor(F.col("m") / F.col("size")))
+    two = F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, 2).alias("two")
+    x = x.groupBy("item_id", "block", "size").agg(two, F.count("*").alias("n")).where(F.col("n") == F.col("size"))
+    return x.select("item_id", *(F.col("two")[k][c].alias(f"{c[0]}{k + 1}") for k in (0, 1) for c in ("offset", "term")))
 
 
 def _verifier(window: int, slop: int, share: float):
@@ -151,7 +156,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
     benchmark item: kind phrase if `window` of its words (all of a shorter item)
     stand there in a row, with the longest such run's word position and length;
     kind proximity if `share` of its words stand within its length, give or take
-    `slop`, around a place where two rare words of it align.
+    `slop`, of a place where a block of it (its two rarest words, at least) stands;
+    with no more than 1 - share of its words changed, dropped or put in, one does.
 
     Words are runs of letters and digits, lower-cased. Items of fewer than
     least_words words, and null items, match nothing; neither do rows with a null
@@ -161,14 +167,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
     items = materialize(items.withColumn("m", F.size("terms")).where(F.col("m") >= least_words).distinct())
     terms = materialize(items.select(F.explode("terms").alias("term")).distinct())
     index = build_index(docs, terms)
-    anchors = materialize(rarest_terms(items, index, window))
+    anchors = materialize(rarest_terms(items, index, share))
     one = postings(index, anchors.select(F.col("t1").alias("term")).distinct())
     two = postings(index, anchors.select(F.col("t2").alias("term")).distinct())
     a = sized_broadcast(anchors, 48)
     first = one.join(a, one.term == a.t1).select("item_id", "doc_id", (F.col("position") - F.col("o1")).alias("start"), "t2", "o2")
     second = two.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), "position")
-    near = F.abs(F.col("position") - F.col("start") - F.col("o2")) <= slop
-    both = first.join(second, (F.col("t2") == F.col("t")) & (F.col("doc_id") == F.col("d")) & near)
+    both = first.join(second, (F.col("t2") == F.col("t")) & (F.col("doc_id") == F.col("d")) & (F.col("start") + F.col("o2") == F.col("position")))
     places = both.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
     found = places.join(sized_broadcast(items, 512), "item_id")
     found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
