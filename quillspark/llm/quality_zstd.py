@@ -4,8 +4,9 @@ For each language a zstandard dictionary is built from good and one from bad
 labelled texts. A text is compressed with both, in blocks, as a dictionary helps
 only the first of a long text; (bytes with bad - bytes with good) / (bytes +
 `PRIOR`) is the normalised difference, the prior pulling short texts to 0. A
-logistic curve, fitted for each language on labelled texts that no dictionary has
-seen, makes it the probability that the text is good.
+logistic curve over it and the text's weight, bytes / (bytes + PRIOR), makes it the
+probability that the text is good: what is too short to tell isn't taken for bad.
+The curve is fitted for each language on labelled texts that no dictionary has seen.
 
 Only fitting is bounded: about `per_class` labelled texts of each language and
 class, by a hash of doc_id, half of them for the dictionaries.
@@ -26,7 +27,7 @@ from .common import bounded_sample, materialize, pick, sized_broadcast
 
 PER_CLASS, DICT_BYTES, BLOCK, LEVEL, PRIOR = 2000, 64 << 10, 1024, 3, 100
 #: A text is rejected below this probability of being good.
-LEAST = 0.2
+LEAST = 0.3
 ANY = ""
 
 
@@ -35,7 +36,7 @@ class Model:
     """Dictionaries and curves by language; ANY is for the others."""
 
     dictionaries: dict[str, tuple[bytes, bytes]]
-    curves: dict[str, tuple[float, float]]
+    curves: dict[str, tuple[float, float, float]]
 
     def language(self, lang: str | None) -> str | None:
         return lang if lang in self.dictionaries else ANY if ANY in self.dictionaries else None
@@ -63,27 +64,30 @@ def compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(text: str, good: zstd.ZstdCompressor, bad: zstd.ZstdCompressor) -> float:
+def difference(text: str, good: zstd.ZstdCompressor, bad: zstd.ZstdCompressor) -> tuple[float, float]:
+    """(normalised difference, weight) of a text."""
     parts = blocks(text)
     n = sum(map(len, parts))
     d = sum(len(bad.compress(b)) - len(good.compress(b)) for b in parts)
-    return d / (n + PRIOR)
+    return d / (n + PRIOR), n / (n + PRIOR)
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) of a logistic curve, by Newton steps with a light ridge."""
-    scale = float(np.std(x)) or 1.0
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """(slopes, offset) of a logistic curve over the columns of x (or x itself), by Newton steps with a light ridge."""
+    x = np.asarray(x, float).reshape(len(y), -1)
+    scale = np.std(x, axis=0)
+    scale[scale == 0] = 1.0
     m = np.c_[x / scale, np.ones(len(x))]
-    w = np.zeros(2)
+    w = np.zeros(m.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
         grad = m.T @ (y - p) - 1e-2 * w
-        hess = (m * (p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(2)
+        hess = (m * (p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return *map(float, w[:-1] / scale), float(w[-1])
 
 
 def fit_rows(rows: list[tuple[str | None, int, str]]) -> Model:
@@ -144,10 +148,10 @@ def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
                 continue
             if key not in made:
                 made[key] = tuple(map(compressor, m.dictionaries[key]))
-            d = difference(t, *made[key])
-            slope, offset = m.curves[key]
+            d, weight = difference(t, *made[key])
+            slope, grown, offset = m.curves[key]
             diff.append(d)
-            prob.append(1 / (1 + np.exp(-np.clip(slope * d + offset, -30, 30))))
+            prob.append(1 / (1 + np.exp(-np.clip(slope * d + grown * weight + offset, -30, 30))))
         return pd.DataFrame({"difference": diff, "p_good": prob})
 
     names = [c for c in docs.columns if c not in ("difference", "p_good", "keep")]

@@ -25,8 +25,10 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.98 and sum(junk) / len(junk) < 0.05
     model = Z.fit_rows([("en", q, t) for _, t, q in known])
     for i, t, _ in fresh[:5]:  # by the definition, block by block
-        d = Z.difference(t, *map(Z.compressor, model.dictionaries["en"]))
-        assert -1 < d < 1
+        d, weight = Z.difference(t, *map(Z.compressor, model.dictionaries["en"]))
+        slope, grown, offset = model.curves["en"]
+        assert -1 < d < 1 and (slope * d + grown * weight + offset > 0) == bool(_)
+    assert all(r.keep for r in Z.score(table(spark, (1, "the"), (2, "a b.")), model).collect())  # too short to tell
 
 
 def test_odd_rows(spark):
