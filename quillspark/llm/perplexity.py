@@ -115,7 +115,7 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
     for n in range(order - 1, 0, -1):
         up = tables[n + 1]
         t = up.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.sum("raw").alias("raw"), F.count("*").alias("types"))
-        tables[n] = t.select("lang", "gram", "raw", F.when(F.substring("gram", 1, 1) == BOS, F.col("raw")).otherwise(F.col("types")).alias("c"))
+        tables[n] = materialize(t.select("lang", "gram", "raw", F.when(F.substring("gram", 1, 1) == BOS, F.col("raw")).otherwise(F.col("types")).alias("c")))
     probability, weights = None, {}
     for n in range(1, order + 1):
         t = tables[n]
