@@ -85,7 +85,7 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n) for n in names))
 
 
-# --- Arrow text kernels -------------------------------------------------------
+# --- Arrow text kernels
 
 
 def text_buffers(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
