@@ -40,7 +40,7 @@ def _windows(items: Column, least: int, most: int, separator: str) -> Column:
     return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(items, i, k), separator))))
 
 
-# --- tokenisers ---------------------------------------------------------------
+# --- tokenisers
 
 standard: Step = _matches(_WORDS)
 whitespace: Step = _matches(r"(?U)\S+")
@@ -78,7 +78,7 @@ def cjk_bigrams(s: Column) -> Column:
     return F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^[{_CJK}]{{2,}}$"), pairs(t)).otherwise(F.array(t))))
 
 
-# --- token filters ------------------------------------------------------------
+# --- token filters
 
 
 def each(f: Callable[[Column], Column]) -> Step:
@@ -176,7 +176,7 @@ def budget(most: int, policy: str = "truncate") -> Step:
     return lambda toks: F.when(F.size(toks) > most, F.raise_error(F.lit(f"more than {most} tokens")).cast("array<string>")).otherwise(toks)
 
 
-# --- character filters --------------------------------------------------------
+# --- character filters
 
 
 def html_strip(s: Column) -> Column:
@@ -199,7 +199,7 @@ def pattern_replace(pattern: str, to: str) -> Step:
     return lambda s: F.regexp_replace(s, pattern, to)
 
 
-# --- analysers ----------------------------------------------------------------
+# --- analysers
 
 
 @dataclass(frozen=True)

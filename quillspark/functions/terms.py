@@ -32,7 +32,7 @@ def fold_accents(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn"))
 
 
-# --- Porter -------------------------------------------------------------------
+# --- Porter
 
 
 def _shape(word: str) -> str:
@@ -97,7 +97,7 @@ def porter(word: str) -> str:
     return word
 
 
-# --- synonyms -----------------------------------------------------------------
+# --- synonyms
 
 
 def synonyms(table: dict[str, list[str]]) -> Callable[[Column], Column]:

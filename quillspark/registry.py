@@ -72,7 +72,7 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"))
 
 
-# --- SQL of the index ---------------------------------------------------------
+# --- SQL of the index
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS["en"]))
 _WORDS = r"[\p{L}\p{Nd}]+"
@@ -171,7 +171,7 @@ select a.doc_id::bigint as doc_id, round(a.s + coalesce(b.s, 0) + case when c.do
 from a left join b using (doc_id) left join c using (doc_id) left join e using (doc_id) left join f using (doc_id) where doc_id not in (select doc_id from post where term = 'attion')""",
 )
 
-# --- vectors, places, blocks --------------------------------------------------
+# --- vectors, places, blocks
 
 
 def _vector(spark: SparkSession, d: str, vec: int, **options) -> Q.Vector:
@@ -192,7 +192,7 @@ register(
 )
 register("q_block_join", lambda spark, d: _hits(compile(Q.BlockJoin(T("thing")), index(spark, d, "conversations"))), f"select distinct conv_id * 100 as doc_id, 1.0::double as score from conversations where turn > 0 and list_contains({_tokens()}, 'thing') and conv_id in (select conv_id from conversations where turn = 0)")
 
-# --- ranking ------------------------------------------------------------------
+# --- ranking
 
 _DER = f"{_IDX}, h as (select doc_id, s as score from bm where term = 'der')"
 _DER_ = lambda spark, d: compile(T("der"), index(spark, d))
@@ -236,7 +236,7 @@ register("s_complete", lambda spark, d: S.complete(index(spark, d), "text", "tho
 register("i_postings", lambda spark, d: index(spark, d).of_field("text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places")), f"{_IDX}select term, count(distinct doc_id) as df, count(*) as cf, sum(p)::bigint as places from pos group by term")
 register("i_stats", lambda spark, d: index(spark, d).stats.where("field = 'text'").select("field", "n_docs", F.round("avgdl", 6).alias("avgdl")), f"{_IDX}select 'text' as field, n::bigint as n_docs, round(a, 6)::double as avgdl from n")
 
-# --- analysis -----------------------------------------------------------------
+# --- analysis
 
 
 def _digest(toks: Column) -> list[Column]:
