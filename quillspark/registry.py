@@ -14,6 +14,7 @@ from .functions import analysis as A
 from .functions.similarity import tf_idf
 from .functions.stem import stem_sql
 from .functions.stopwords import STOP_WORDS
+from .operators import batch as B
 from .operators import highlight as H
 from .operators import index as I
 from .operators import rank as R
@@ -171,6 +172,18 @@ select a.doc_id::bigint as doc_id, round(a.s + coalesce(b.s, 0) + case when c.do
 from a left join b using (doc_id) left join c using (doc_id) left join e using (doc_id) left join f using (doc_id) where doc_id not in (select doc_id from post where term = 'attion')""",
 )
 
+
+
+def _batch(spark: SparkSession, d: str, n: int | None) -> DataFrame:
+    ix = index(spark, d)
+    queries = B.query_terms(ix, "text", table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return B.search_terms(ix, "text", queries, n).withColumn("score", F.round("score", 6))
+
+
+_BATCH = f"{_IDX}, q as (select item_id as query_id, term, count(*) as boost from (select item_id, unnest({_tokens()}) as term from benchmark) group by all), x as (select query_id, doc_id, sum(boost * s) as score from bm join q using (term) group by all)"
+register("q_batch_top", lambda spark, d: _batch(spark, d, 10), f"{_BATCH} select query_id, doc_id, round(score, 6)::double as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id)::int as rank from x qualify rank <= 10")
+register("q_batch_all", lambda spark, d: _batch(spark, d, None), f"{_BATCH} select query_id, doc_id, round(score, 6)::double as score from x")
+
 # --- vectors, places, blocks
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -31,14 +31,18 @@ def session(app: str = "quillspark", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable on the executors, once per application."""
+    """Makes this package importable on the executors, once per application, from the folder that they share."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent
-        path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{root.name}.zip")
-        with zipfile.ZipFile(path, "w") as z:
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent).as_posix())
+        path = f"{shared_folder(spark)}.zip"
+        to = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
