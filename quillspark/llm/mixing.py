@@ -55,8 +55,8 @@ def pieces(supply: DataFrame, schedule: DataFrame, total: float | None, max_epoc
 
 def _time(c: Column) -> Column:
     """The time at which a source's demand reaches c."""
-    y = c / F.col("total")
-    last = F.element_at(F.filter("pieces", lambda p: p["before"] <= y), -1)
+    y = c / F.col("__total")
+    last = F.element_at(F.filter("__pieces", lambda p: p["before"] <= y), -1)
     rise = (last["w1"] - last["w0"]) / (last["t1"] - last["t0"])  # twice the quadratic term
     need = y - last["before"]
     root = F.sqrt(F.greatest(last["w0"] * last["w0"] + 2 * rise * need, F.lit(0.0)))
@@ -91,14 +91,14 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, total: float | None
         plan = natural_to_smoothed(supply)
     else:
         plan = schedule.select(_src(F.col("source")).alias("src"), F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("weight"))
-    plan = pieces(supply, plan, total, max_epochs).withColumnRenamed("src", "__src")
+    plan = pieces(supply, plan, total, max_epochs).select(*(F.col(c).alias(f"__{c}") for c in ("src", "supply", "limit", "pieces", "total")))
     inside = Window.partitionBy("__src", "__bucket").orderBy("__order", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("__sum", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     starts = buckets.join(F.broadcast(plan), "__src")  # plan: a row for each source
     x = x.join(starts, ["__src", "__bucket"]).withColumn("__c", F.col("__start") + F.col("__sum"))
-    times = F.ceil((F.col("limit") - F.col("__c")) / F.col("supply")).cast("int")
+    times = F.ceil((F.col("__limit") - F.col("__c")) / F.col("__supply")).cast("int")
     x = x.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    x = x.withColumn("position", F.round(_time((F.col("__c") + F.col("epoch") * F.col("supply")).cast("double")), 9))
+    x = x.withColumn("position", F.round(_time((F.col("__c") + F.col("epoch") * F.col("__supply")).cast("double")), 9))
     return x.select(*names, "n_tokens", "epoch", "position").orderBy("position", F.col("doc_id").asc_nulls_first(), "epoch")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, position string, epoch string, keep string, term string, count string, a string, b string, h string, rank string, content string, key string, docs string, difference string, p_good string, line string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, position string, epoch string, keep string, term string, count string, a string, b string, h string, rank string, content string, key string, docs string, difference string, p_good string, line string, supply string, total string, limit string, pieces string, src string, weight string, share string"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud".split()
 
 
@@ -30,7 +30,7 @@ ROWS = [
 
 
 def odd(spark):
-    rows = [(i, t, g, s, None if t is None else len(t), *["clash"] * 16) for i, t, g, s in ROWS]
+    rows = [(i, t, g, s, None if t is None else len(t), *["clash"] * 23) for i, t, g, s in ROWS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
