@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Training texts are read once; for each Arrow batch and each term of the test
-vocabulary the index stores a block of (documents, positions). Document
+Training texts are read once; for each slice of them the index stores, by term of
+the test vocabulary, postings of (document, position). Document
 frequencies come from the index. A test item is cut into blocks so short that any
 match leaves one of them as it is. Of each block the rarest term's postings,
 shifted by its offset, give the places where the item could start; those of the
@@ -31,15 +31,20 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), list_array(h.view(np.int64), first, pa.int64())], ["item_id", "terms"])
 
 
+_INDEX = "terms bigint, n_docs bigint, ends int, docs bigint, positions int"
+INDEX = ", ".join("{} array<{}>".format(*c.split()) for c in _INDEX.split(", "))
+
+
 def _indexer(vocabulary):
-    """Blocks (term, n_docs, docs, positions) of a batch; vocabulary: a broadcast sorted array, or None for all terms."""
+    """A row for each slice of texts: its terms in order, in how many documents each
+    is, where its postings end, and the postings (docs, positions). vocabulary: a
+    broadcast sorted array, or None for all terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if vocabulary is None else vocabulary.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
             buf, offs = text_buffers(batch.column(1))
-            terms, docs, places = [], [], []
             for i, _, part, at in slices(buf, offs):
                 h, first = words(part, at)
                 h = h.view(np.int64)
@@ -48,42 +53,38 @@ def _indexer(vocabulary):
                 else:
                     where = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = np.flatnonzero(known[where] == h)
+                if not len(hit):
+                    continue
                 row = np.searchsorted(first, hit, "right") - 1
-                terms.append(h[hit])
-                docs.append(ids[i + row])
-                places.append((hit - first[row]).astype(np.int32))
-            if not sum(map(len, terms)):
-                continue
-            t, d, p = map(np.concatenate, (terms, docs, places))
-            order = np.argsort(t, kind="stable")
-            t, d, p = t[order], d[order], p[order]
-            start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            offs = np.r_[start, len(t)]
-            fresh = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
-            n = np.add.reduceat(fresh, start)
-            yield pa.record_batch([pa.array(t[start]), pa.array(n.astype(np.int64)), list_array(d, offs, pa.int64()), list_array(p, offs, pa.int32())], ["term", "n_docs", "docs", "positions"])
+                t = h[hit]
+                order = np.argsort(t, kind="stable")
+                t, row, place = t[order], row[order], (hit - first[row]).astype(np.int32)[order]
+                start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                fresh = np.r_[True, (row[1:] != row[:-1]) | (t[1:] != t[:-1])]
+                columns = [t[start], np.add.reduceat(fresh, start).astype(np.int64), np.r_[start[1:], len(t)].astype(np.int32), ids[i + row], place]
+                yield pa.record_batch([list_array(c, np.array([0, len(c)]), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["terms", "n_docs", "ends", "docs", "positions"])
 
     return run
 
 
 def build_index(docs: DataFrame, test_terms: DataFrame | None) -> DataFrame:
-    """The positional index of docs: blocks (term, n_docs, docs, positions), for
-    the terms of test_terms (term) if given. Rows with a null doc_id have none.
-    A vocabulary too large to broadcast is met by a join of the blocks instead."""
+    """The positional index of docs (see INDEX), a row for each slice of texts, for
+    the terms of test_terms (term) if given and few enough to broadcast, else for
+    all. Rows with a null doc_id have none."""
     known = None
     if test_terms is not None and test_terms.count() * 8 <= BROADCAST_BYTES:
         known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in test_terms.collect()), np.int64))
         if not len(known.value):
             docs = docs.limit(0)
-    index = pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_indexer(known), "term bigint, n_docs bigint, docs array<bigint>, positions array<int>")
-    if test_terms is not None and known is None:
-        index = index.join(test_terms, "term", "left_semi")
-    return materialize(index)
+    return materialize(pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_indexer(known), INDEX))
 
 
 def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, position) of the terms (term) asked for."""
-    return index.join(sized_broadcast(terms, 16), "term", "left_semi").select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("positions").alias("position"))))
+    x = index.select("ends", "docs", "positions", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms, 16), "term", "left_semi")
+    start = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)
+    part = lambda c: F.slice(c, start + 1, F.get("ends", F.col("k")) - start)
+    return x.select("term", F.inline(F.arrays_zip(part("docs").alias("doc_id"), part("positions").alias("position"))))
 
 
 def block_size(m: Column, share: float) -> Column:
@@ -97,7 +98,7 @@ def block_size(m: Column, share: float) -> Column:
 def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE) -> DataFrame:
     """(item_id, o1, t1, o2, t2): for each block of an item's words the offset and
     hash of its two rarest terms. Blocks with a term that the index lacks stand nowhere."""
-    df = index.groupBy("term").agg(F.sum("n_docs").alias("df"))
+    df = index.select(F.inline(F.arrays_zip("terms", "n_docs"))).groupBy(F.col("terms").alias("term")).agg(F.sum("n_docs").alias("df"))
     at = items.withColumn("size", block_size(F.col("m"), share)).select("item_id", "m", "size", F.posexplode("terms").alias("offset", "term")).join(df, "term")
     x = at.withColumn("block", F.floor(F.col("offset") / F.col("size"))).where(F.col("block") < F.floor(F.col("m") / F.col("size")))
     two = F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, 2).alias("two")
@@ -105,6 +106,52 @@ def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE) -> Da
     return x.select("item_id", *(F.col("two")[k][c].alias(f"{c[0]}{k + 1}") for k in (0, 1) for c in ("offset", "term")))
 
 
+def _intersector(shared):
+    """Rows of the index to (doc_id, item_id, start): where both lists of an anchor,
+    shifted by their offsets, agree. A document is in one row, so no exchange is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, o1, t1, o2, t2 = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                terms, ends, docs, places = (np.asarray(batch.column(c)[k].values) for c in (0, 2, 3, 4))
+                ids, doc = np.unique(docs, return_inverse=True)
+                key = (doc.astype(np.int64) << 32) + places  # shifted alike, as starts are above -2^31
+                key = key[np.lexsort((key, np.searchsorted(ends, np.arange(len(key)), "right")))]  # each list in order
+                at = [np.minimum(np.searchsorted(terms, t), len(terms) - 1) for t in (t1, t2)]
+                first = np.r_[0, ends[:-1]]
+                found = []
+                for a in np.flatnonzero((terms[at[0]] == t1) & (terms[at[1]] == t2)).tolist():
+                    x, y = (key[first[j] : ends[j]] - o for j, o in ((at[0][a], o1[a]), (at[1][a], o2[a])))
+                    if len(x) > len(y):
+                        x, y = y, x
+                    w = np.searchsorted(y, x)
+                    both = x[y[np.minimum(w, len(y) - 1)] == x]
+                    if len(both):
+                        found.append((np.full(len(both), item[a]), both))
+                if found:
+                    items, both = map(np.concatenate, zip(*found))
+                    home = (both + (1 << 31)) >> 32
+                    yield pa.record_batch([pa.array(ids[home]), pa.array(items), pa.array((both - (home << 32)).astype(np.int32))], ["doc_id", "item_id", "start"])
+
+    return run
+
+
+def places(index: DataFrame, anchors: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, start) where an anchor's two lists agree; anchors of more
+    than `most` bytes meet the postings in joins instead of being broadcast."""
+    if anchors.count() * 40 <= most:
+        got = anchors.toArrow()
+        shared = index.sparkSession.sparkContext.broadcast([np.asarray(got[c]) for c in ("item_id", "o1", "t1", "o2", "t2")])
+        return index.mapInArrow(_intersector(shared), "doc_id bigint, item_id bigint, start int")
+    one = postings(index, anchors.select(F.col("t1").alias("term")).distinct())
+    two = postings(index, anchors.select(F.col("t2").alias("term")).distinct())
+    first = one.join(anchors, one.term == anchors.t1).select("item_id", "doc_id", (F.col("position") - F.col("o1")).alias("start"), "t2", "o2")
+    second = two.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), "position")
+    both = first.join(second, (F.col("t2") == F.col("t")) & (F.col("doc_id") == F.col("d")) & (F.col("start") + F.col("o2") == F.col("position")))
+    return both.select("doc_id", "item_id", "start")
+
+
 def _verifier(window: int, slop: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +215,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
     terms = materialize(items.select(F.explode("terms").alias("term")).distinct())
     index = build_index(docs, terms)
     anchors = materialize(rarest_terms(items, index, share))
-    one = postings(index, anchors.select(F.col("t1").alias("term")).distinct())
-    two = postings(index, anchors.select(F.col("t2").alias("term")).distinct())
-    a = sized_broadcast(anchors, 48)
-    first = one.join(a, one.term == a.t1).select("item_id", "doc_id", (F.col("position") - F.col("o1")).alias("start"), "t2", "o2")
-    second = two.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), "position")
-    both = first.join(second, (F.col("t2") == F.col("t")) & (F.col("doc_id") == F.col("d")) & (F.col("start") + F.col("o2") == F.col("position")))
-    places = both.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = places.join(sized_broadcast(items, 512), "item_id")
+    starts = places(index, anchors).groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
+    found = starts.join(sized_broadcast(items, 512), "item_id")
     found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
     again = pick(docs, "doc_id", "text").join(sized_broadcast(found, 4096), "doc_id").select("doc_id", "text", "found")
     made = again.mapInArrow(_verifier(window, slop, share), "doc_id bigint, item_id bigint, kind string, position int, n_words int")

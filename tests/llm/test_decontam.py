@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from odd import LONG, none, odd, prose, table
 
 from quillspark.llm import decontam as D
@@ -83,5 +85,14 @@ def test_odd_rows(spark):
 
 def test_index_without_a_vocabulary(spark):
     ix = D.build_index(table(spark, (1, "a b a"), (2, "b")), None)
-    rows = D.postings(ix, ix.select("term").distinct()).collect()
+    rows = D.postings(ix, ix.select(F.explode("terms").alias("term")).distinct()).collect()
     assert sorted((r.doc_id, r.position) for r in rows) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_both_ways_to_intersect(spark):
+    docs = table(spark, *((i, f"{prose(i, 5)} {unlike(i % 9, 30)} {unlike(i % 9, 30)}") for i in range(40)), (1, unlike(3, 30)), (-5, unlike(2, 30)))
+    items = D.materialize(bench(spark).mapInArrow(D._tokens, "item_id bigint, terms array<bigint>").withColumn("m", F.size("terms")).where("m > 4"))
+    ix = D.build_index(docs, items.select(F.explode("terms").alias("term")).distinct())
+    anchors = D.materialize(D.rarest_terms(items, ix))
+    rows = lambda most: sorted(set(map(tuple, D.places(ix, anchors, most).collect())))
+    assert rows(1 << 20) == rows(0) != []
