@@ -31,13 +31,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), list_array(h.view(np.int64), first, pa.int64())], ["item_id", "terms"])
 
 
-_INDEX = "terms bigint, n_docs bigint, ends int, docs bigint, positions int"
+_INDEX = "terms bigint, n_docs bigint, ends int, docs int, positions int, ids bigint"
 INDEX = ", ".join("{} array<{}>".format(*c.split()) for c in _INDEX.split(", "))
 
 
 def _indexer(vocabulary):
     """A row for each slice of texts: its terms in order, in how many documents each
-    is, where its postings end, and the postings (docs, positions). vocabulary: a
+    is, where its postings end, the postings (docs, positions), docs being places in
+    the last column, the rows' ids: two texts under one id stay apart. vocabulary: a
     broadcast sorted array, or None for all terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def _indexer(vocabulary):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             buf, offs = text_buffers(batch.column(1))
-            for i, _, part, at in slices(buf, offs):
+            for i, j, part, at in slices(buf, offs):
                 h, first = words(part, at)
                 h = h.view(np.int64)
                 if known is None:
@@ -61,8 +62,8 @@ def _indexer(vocabulary):
                 t, row, place = t[order], row[order], (hit - first[row]).astype(np.int32)[order]
                 start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                 fresh = np.r_[True, (row[1:] != row[:-1]) | (t[1:] != t[:-1])]
-                columns = [t[start], np.add.reduceat(fresh, start).astype(np.int64), np.r_[start[1:], len(t)].astype(np.int32), ids[i + row], place]
-                yield pa.record_batch([list_array(c, np.array([0, len(c)]), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["terms", "n_docs", "ends", "docs", "positions"])
+                columns = [t[start], np.add.reduceat(fresh, start).astype(np.int64), np.r_[start[1:], len(t)].astype(np.int32), row.astype(np.int32), place, ids[i:j]]
+                yield pa.record_batch([list_array(c, np.array([0, len(c)]), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["terms", "n_docs", "ends", "docs", "positions", "ids"])
 
     return run
 
@@ -81,10 +82,10 @@ def build_index(docs: DataFrame, test_terms: DataFrame | None) -> DataFrame:
 
 def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, position) of the terms (term) asked for."""
-    x = index.select("ends", "docs", "positions", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms, 16), "term", "left_semi")
+    x = index.select("ends", "docs", "positions", "ids", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms, 16), "term", "left_semi")
     start = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)
     part = lambda c: F.slice(c, start + 1, F.get("ends", F.col("k")) - start)
-    return x.select("term", F.inline(F.arrays_zip(part("docs").alias("doc_id"), part("positions").alias("position"))))
+    return x.select("term", F.inline(F.arrays_zip(F.transform(part("docs"), lambda r: F.get("ids", r)).alias("doc_id"), part("positions").alias("position"))))
 
 
 def block_size(m: Column, share: float) -> Column:
@@ -106,17 +107,19 @@ def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE) -> Da
     return x.select("item_id", *(F.col("two")[k][c].alias(f"{c[0]}{k + 1}") for k in (0, 1) for c in ("offset", "term")))
 
 
-def _intersector(shared):
+def _intersector(shared, decide=None):
     """Rows of the index to (doc_id, item_id, start): where both lists of an anchor,
-    shifted by their offsets, agree. A document is in one row, so no exchange is needed."""
+    shifted by their offsets, agree. A document is in one row, so no exchange is
+    needed; nor are texts to decide: the row has all of an item's words in a
+    document. decide: (terms by item, window, slop, share), to give matches instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item, o1, t1, o2, t2 = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                terms, ends, docs, places = (np.asarray(batch.column(c)[k].values) for c in (0, 2, 3, 4))
-                ids, doc = np.unique(docs, return_inverse=True)
-                key = (doc.astype(np.int64) << 32) + places  # shifted alike, as starts are above -2^31
+                terms, ends, docs, places, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 2, 3, 4, 5))
+                key = (docs.astype(np.int64) << 32) + places  # shifted alike, as starts are above -2^31
+                key0 = key
                 key = key[np.lexsort((key, np.searchsorted(ends, np.arange(len(key)), "right")))]  # each list in order
                 at = [np.minimum(np.searchsorted(terms, t), len(terms) - 1) for t in (t1, t2)]
                 first = np.r_[0, ends[:-1]]
@@ -132,11 +135,44 @@ def _intersector(shared):
                 if found:
                     items, both = map(np.concatenate, zip(*found))
                     home = (both + (1 << 31)) >> 32
+                    if decide:
+                        yield from _decided(decide, terms, ends, docs, key0, ids, items, home, both)
+                        continue
                     yield pa.record_batch([pa.array(ids[home]), pa.array(items), pa.array((both - (home << 32)).astype(np.int32))], ["doc_id", "item_id", "start"])
 
     return run
 
 
+def _decided(decide, terms, ends, docs, key, ids, items, home, both) -> Iterator[pa.RecordBatch]:
+    """The matches among candidate starts, on documents rebuilt from a row of the index."""
+    known, window, slop, share = decide
+    word = terms[np.searchsorted(ends, np.arange(len(key)), "right")]
+    order = np.argsort(key, kind="stable")
+    key, word = key[order], word[order]
+    starts = both - (home << 32)
+    rank = np.lexsort((items, home))
+    home, items, starts = home[rank], items[rank], starts[rank]
+    cut = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (items[1:] != items[:-1])])
+    out, last, doc = [], None, None
+    for a, b in zip(cut.tolist(), np.r_[cut[1:], len(home)].tolist()):
+        if home[a] != last:
+            last = home[a]
+            lo, hi = np.searchsorted(key, [last << 32, (last + 1) << 32])
+            at = key[lo:hi] - (last << 32)
+            doc = np.full(int(at[-1]) + 1, _NO_WORD, np.int64)
+            doc[at] = word[lo:hi]
+        best = judge(doc, known.value[int(items[a])], starts[a:b].tolist(), window, slop, share)
+        if best:
+            out.append((int(ids[last]), int(items[a]), *best))
+    if out:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "item_id", "kind", "position", "n_words"])
+
+
+#: Stands for words that no item has; a word's hash is this with chance 2^-64.
+_NO_WORD = -(1 << 63)
+
+
 def places(index: DataFrame, anchors: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, start) where an anchor's two lists agree; anchors of more
     than `most` bytes meet the postings in joins instead of being broadcast."""
@@ -198,6 +234,15 @@ def judge(doc: np.ndarray, item: np.ndarray, starts: list[int], window: int, slo
     return None
 
 
+def _read_again(docs: DataFrame, items: DataFrame, candidates: DataFrame, window: int, slop: int, share: float) -> DataFrame:
+    """The matches among candidates (doc_id, item_id, start), on their texts."""
+    starts = candidates.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
+    found = starts.join(sized_broadcast(items, 512), "item_id")
+    found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
+    again = pick(docs, "doc_id", "text").join(sized_broadcast(found, 4096), "doc_id").select("doc_id", "text", "found")
+    return again.mapInArrow(_verifier(window, slop, share), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, slop: int = SLOP, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, kind, position, n_words): every document that holds a
     benchmark item: kind phrase if `window` of its words (all of a shorter item)
@@ -215,11 +260,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
     terms = materialize(items.select(F.explode("terms").alias("term")).distinct())
     index = build_index(docs, terms)
     anchors = materialize(rarest_terms(items, index, share))
-    starts = places(index, anchors).groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = starts.join(sized_broadcast(items, 512), "item_id")
-    found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
-    again = pick(docs, "doc_id", "text").join(sized_broadcast(found, 4096), "doc_id").select("doc_id", "text", "found")
-    made = again.mapInArrow(_verifier(window, slop, share), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
+    width = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] * 8
+    if width <= BROADCAST_BYTES and items.groupBy("item_id").count().where("count > 1").isEmpty() and anchors.count() * 40 <= BROADCAST_BYTES:
+        sc, got = docs.sparkSession.sparkContext, anchors.toArrow()
+        known = sc.broadcast({r.item_id: np.array(r.terms, np.int64) for r in items.collect()})
+        shared = sc.broadcast([np.asarray(got[c]) for c in ("item_id", "o1", "t1", "o2", "t2")])
+        made = index.mapInArrow(_intersector(shared, (known, window, slop, share)), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
+    else:
+        made = _read_again(docs, items, places(index, anchors), window, slop, share)
     best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy("kind", F.desc("n_words"), "position"))
     return made.withColumn("__r", best).where("__r = 1").drop("__r")
 
