@@ -5,9 +5,14 @@ each slice, the shuffle sums). Lower orders have the usual continuation counts,
 or plain counts after the start of a text; three discounts for each language and
 order come from the counts of counts; orders are interpolated down to a uniform
 distribution over the language's characters. The model is stored as arrays sorted
-by n-gram hash, with a directory over the leading bits. Of each language the
-documents' log-perplexities give a median and a spread; a document outside the
-band around the median, widened for short texts, is rejected.
+by n-gram hash, with a directory over the leading bits.
+
+No text is scored by its own counts: texts fall into two halves by hash, copies
+into the same, and each half is scored by the other's model. What a text repeats
+of itself is counted by a cache: given its context, a character is drawn from an
+urn of CACHE parts of the model and one of each character that followed before.
+Of each language the documents' log-perplexities give a median, a spread, and how
+the spread grows in short texts; a document outside that band is rejected.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, pick, slices, text_buffers
 
 ORDER = 5
-#: Half-width of the band in robust standard deviations; texts that the spread is measured on; inflation of a text's own variance, as its characters aren't independent.
-WIDTH, LEAST_CHARS, INFLATION = 6.0, 200, 4.0
+#: Half-width of the band in robust standard deviations; characters of a text that the spread is measured on.
+WIDTH, LEAST_CHARS = 4.0, 200
+#: Weight of the model against what a text repeats of itself, in occurrences.
+CACHE = 10.0
 #: A model of up to so many bytes goes to all executors as arrays; the documents' n-grams meet a larger one in a join.
 MODEL_BYTES = 256 << 20
 BOS = "\x02"
@@ -235,7 +242,21 @@ def log_probabilities(arrays: list[Arrays], chars: np.ndarray, place: np.ndarray
     return out
 
 
-def _scorer(shared, order: int):
+def _lgamma(x, log):
+    """Log gamma of positive numbers, of an array or a column: Stirling's series eight places up."""
+    y, product = x + 8.0, x
+    for k in range(1, 8):
+        product = product * (x + float(k))
+    return (y - 0.5) * log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - log(product)
+
+
+def _runs(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, occurrences) of each distinct key of a row."""
+    _, first, n = np.unique(mix(key ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+    return first, n
+
+
+def _scorer(shared, order: int, cache: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = shared.value
         seeds: dict[str, np.uint64] = {}
@@ -247,20 +268,29 @@ def _scorer(shared, order: int):
                 for x in set(lang[i:j]) - seeds.keys():
                     seeds[x] = seed_of(x)
                 own = np.repeat(np.array([seeds[x] for x in lang[i:j]], np.uint64), np.diff(ends))
-                lp = log_probabilities(arrays, chars, place, own, order)
                 n = np.diff(ends)
                 row = np.repeat(np.arange(j - i), n)
-                total, square = (np.bincount(row, v, j - i) for v in (lp, lp * lp))
+                at, times = _runs(gram_hash(chars, place, order, np.uint64(0)), row)
+                lp = log_probabilities(arrays, chars, place[at], own[at], order)
+                total, square = (np.bincount(row[at], times * v, j - i) for v in (lp, lp * lp))
+                square -= total * total / np.maximum(n, 1)
+                if cache:
+                    a = cache * np.exp(lp)
+                    total = np.bincount(row[at], _lgamma(a + times, np.log) - _lgamma(a, np.log), j - i)
+                    at, times = _runs(gram_hash(chars, place - 1, order - 1, np.uint64(0)), row)
+                    total -= np.bincount(row[at], _lgamma(cache + times, np.log) - _lgamma(np.array(cache), np.log), j - i)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(lang[i:j], pa.string()), pa.array(n.astype(np.int64)), pa.array(total), pa.array(square)], ["doc_id", "lang", "n_chars", "log_p", "squares"])
 
     return run
 
 
-def score_arrays(docs: DataFrame, arrays: list[Arrays], order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, n_chars, log_p, squares) of each row; squares: the sum of squared log p."""
+def score_arrays(docs: DataFrame, arrays: list[Arrays], order: int = ORDER, cache: float = 0.0) -> DataFrame:
+    """(doc_id, lang, n_chars, log_p, squares) of each row; squares: the sum of
+    squares of the model's log p about the row's mean. cache: the model's weight against what the
+    row repeats of itself; 0 is the model alone."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     x = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return x.mapInArrow(_scorer(shared, order), "doc_id bigint, lang string, n_chars bigint, log_p double, squares double")
+    return x.mapInArrow(_scorer(shared, order, cache), "doc_id bigint, lang string, n_chars bigint, log_p double, squares double")
 
 
 def _row_counter(order: int):
@@ -281,46 +311,94 @@ def _row_counter(order: int):
     return run
 
 
-def score_join(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+def _backed_off(grams: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, l) of distinct (lang, gram): log_probabilities by joins."""
+    rest, found = grams.select("lang", "gram", F.col("gram").alias("left"), F.lit(0.0).alias("l")), []
+    for n in range(order, -1, -1):
+        here = model.where(F.col("size") == n).select("lang", F.col("gram").alias("left"), "p").where("p is not null")
+        x = rest.join(here, ["lang", "left"], "left")
+        if n == 0:
+            found.append(x.select("lang", "gram", (F.col("l") + F.coalesce(F.ln("p"), F.lit(float(np.log(1e-7))))).alias("l")))
+            break
+        x = materialize(x)
+        found.append(x.where("p is not null").select("lang", "gram", (F.col("l") + F.ln("p")).alias("l")))
+        lower = model.where(F.col("size") == n - 1).select("lang", F.col("gram").alias("context"), "g")
+        x = x.where("p is null").withColumn("context", F.substring("left", 1, n - 1) if n > 1 else F.lit("")).join(lower, ["lang", "context"], "left")
+        rest = materialize(x.select("lang", "gram", (F.substring("left", 2, n - 1) if n > 1 else F.lit("")).alias("left"), (F.col("l") + F.coalesce(F.ln("g"), F.lit(0.0))).alias("l")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
+def score_join(docs: DataFrame, model: DataFrame, order: int = ORDER, cache: float = 0.0) -> DataFrame:
     """What score_arrays gives, for a model too large to broadcast: the documents'
-    n-grams meet the model's in a join. The model must hold all of them, as it
-    does if it was counted on these documents."""
+    n-grams meet the model's in joins."""
     x = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     x = materialize(x.mapInArrow(_row_counter(order), "row bigint, doc_id bigint, lang string, gram string, n bigint"))
-    m = model.where(F.col("size") == order).select("lang", "gram", F.ln("p").alias("l"))
-    y = x.join(m, ["lang", "gram"], "left")
-    got = y.groupBy("row", "doc_id", "lang").agg(F.sum("n").alias("n_chars"), F.coalesce(F.sum(F.col("n") * F.col("l")), F.lit(0.0)).alias("log_p"), F.coalesce(F.sum(F.col("n") * F.col("l") * F.col("l")), F.lit(0.0)).alias("squares"))
-    return got.drop("row")
-
-
-def judge(scores: DataFrame, width: float = WIDTH, least_chars: int = LEAST_CHARS, inflation: float = INFLATION) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity, lower, upper, keep) from scores."""
-    x = scores.withColumn("h", F.try_divide(-F.col("log_p"), F.col("n_chars")))
-    x = x.withColumn("v", F.greatest(F.lit(0.0), F.try_divide(F.col("squares"), F.col("n_chars")) - F.col("h") * F.col("h")))
-    long = F.when(F.col("n_chars") >= least_chars, F.col("h"))
-    mid = x.groupBy("lang").agg(F.coalesce(F.percentile_approx(long, 0.5, 10000), F.percentile_approx("h", 0.5, 10000)).alias("mid"), F.avg("v").alias("tau"))
-    off = x.join(F.broadcast(mid), "lang")  # a row for each language
-    spread = off.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("n_chars") >= least_chars, F.abs(F.col("h") - F.col("mid"))), 0.5, 10000), F.lit(0.0)).alias("mad"))
+    m = materialize(_backed_off(x.where("gram is not null").select("lang", "gram").distinct(), model, order))
+    key = ["row", "doc_id", "lang"]
+    x = x.groupBy(*key, "gram").agg(F.sum("n").alias("n"))  # a long row is counted in slices
+    y = x.join(m, ["lang", "gram"], "left").withColumn("t", F.col("n") * F.col("l"))
+    y = y.withColumn("l1", F.col("t")).withColumn("l2", F.col("t") * F.col("l"))
+    sums = [F.sum(c).alias(c) for c in ("n", "l1", "l2", "t")]
+    if cache:
+        a = F.col("a")
+        y = y.withColumn("a", cache * F.exp("l")).withColumn("t", _lgamma(a + F.col("n"), F.ln) - _lgamma(a, F.ln))
+        y = y.groupBy(*key, F.substring("gram", 1, order - 1).alias("context")).agg(*sums)
+        y = y.withColumn("t", F.col("t") - _lgamma(cache + F.col("n"), F.ln) + float(_lgamma(np.array(cache), np.log)))
+    got = y.groupBy(*key).agg(*sums).select("doc_id", "lang", F.col("n").alias("n_chars"), F.col("t").alias("log_p"), (F.col("l2") - F.try_divide(F.col("l1") * F.col("l1"), F.col("n"))).alias("squares"))
+    return got.fillna(0.0, ["log_p", "squares"])
+
+
+def judge(scores: DataFrame, width: float = WIDTH, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, lang, n_chars, perplexity, lower, upper, keep) from scores.
+
+    The variance of log-perplexities is measured on texts of least_chars and more,
+    at their median length; what a shorter text has beyond it falls with length,
+    at a rate measured on the texts below least_chars. It's never taken as less
+    than that of as many independent characters: a language of a few texts has no
+    spread to measure."""
+    x = scores.withColumn("h", F.try_divide(-F.col("log_p"), F.col("n_chars"))).withColumn("v", F.greatest(F.lit(0.0), F.try_divide("squares", "n_chars")))
+    of_long = lambda c: F.when(F.col("n_chars") >= least_chars, c)
+    median = lambda c: F.percentile_approx(c, 0.5, 10000)
+    mid = x.groupBy("lang").agg(F.coalesce(median(of_long(F.col("h"))), median(F.col("h"))).alias("mid"), F.coalesce(median(of_long(F.col("n_chars"))), F.lit(least_chars)).alias("usual"), F.avg("v").alias("tau"))
+    off = x.join(F.broadcast(mid), "lang").withColumn("off", F.abs(F.col("h") - F.col("mid")))  # a row for each language
+    short = F.when(F.col("n_chars") < least_chars, F.col("off") * F.sqrt("n_chars"))
+    spread = off.groupBy("lang").agg(F.coalesce(F.pow(1.4826 * median(of_long(F.col("off"))), 2), F.lit(0.0)).alias("var"), F.coalesce(F.pow(1.4826 * median(short), 2), F.lit(0.0)).alias("rate"))
     y = off.join(F.broadcast(spread), "lang")
-    half = width * F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.try_divide(inflation * F.col("tau"), F.col("n_chars")))
-    y = y.withColumn("half", half)
-    bound = lambda sign: F.exp(F.col("mid") + sign * F.col("half"))
-    return y.select("doc_id", "lang", "n_chars", F.exp("h").alias("perplexity"), bound(-1).alias("lower"), bound(1).alias("upper"), F.coalesce(F.abs(F.col("h") - F.col("mid")) <= F.col("half"), F.lit(True)).alias("keep"))
+    rate = F.greatest("rate", F.col("var") * F.col("usual"))
+    more = rate * F.greatest(F.lit(0.0), F.try_divide(F.lit(1.0), F.col("n_chars")) - 1 / F.col("usual"))
+    y = y.withColumn("half", width * F.sqrt(F.greatest(F.col("var") + more, F.try_divide("tau", "n_chars"))))
+    bound = lambda sign: F.when(F.col("n_chars") > 0, F.exp(F.col("mid") + sign * F.col("half")))
+    return y.select("doc_id", "lang", "n_chars", F.exp("h").alias("perplexity"), bound(-1).alias("lower"), bound(1).alias("upper"), F.coalesce(F.col("off") <= F.col("half"), F.lit(True)).alias("keep"))
+
+
+def _halves(docs: DataFrame) -> DataFrame:
+    """docs with the half that a text falls into, and its language with that half (own) and the other (other) as languages."""
+    x = docs.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
+    key = lambda half: F.concat("lang", F.lit("\x1f"), half.cast("string"))
+    return x.withColumn("own", key(F.col("half"))).withColumn("other", key(1 - F.col("half")))
 
 
-def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH, **bands) -> DataFrame:
+def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH, cache: float = CACHE, **bands) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, lower, upper, keep): each document's
-    perplexity per character under its language's model, the band it's held to,
-    and whether it stays.
-
-    A null language is the language ''. A null or empty text has no perplexity and
-    stays. Repeated rows repeat, and count as often; a null doc_id stays null. An
-    empty table gives no rows. Other columns aren't read."""
-    docs = pick(docs, "doc_id", "lang", "text")
-    top = materialize(top_counts(docs, order))
+    perplexity per character under the model of its language's other half and
+    the cache, the band it's held to, and whether it stays.
+
+    A null language is the language ''. If the other half has no text of a
+    language, its texts are scored by the model that they're counted in. A null or
+    empty text has no perplexity and stays. Repeated rows repeat, and count as
+    often; a null doc_id stays null. An empty table gives no rows. Other columns
+    aren't read."""
+    docs = _halves(pick(docs, "doc_id", "lang", "text"))
+    top = materialize(top_counts(docs.select(F.col("own").alias("lang"), "text"), order))
     model = materialize(kneser_ney(top, order))
+    known = model.where("size = 0").select(F.col("lang").alias("other"), F.lit(True).alias("known"))  # two rows for each language
+    docs = docs.join(F.broadcast(known), "other", "left").select("doc_id", F.when(F.col("known"), F.col("other")).otherwise(F.col("own")).alias("lang"), "text")
     if model.count() * 16 <= MODEL_BYTES:
-        scores = score_arrays(docs, load_arrays(model, order), order)
+        scores = score_arrays(docs, load_arrays(model, order), order, cache)
     else:
-        scores = score_join(docs, model, order)
+        scores = score_join(docs, model, order, cache)
+    scores = scores.withColumn("lang", F.regexp_replace("lang", "\x1f[01]$", ""))
     return judge(materialize(scores), width, **bands)

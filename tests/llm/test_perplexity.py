@@ -76,6 +76,43 @@ def test_bands(spark):
     assert not got[600].keep and got[600].perplexity < got[600].lower
 
 
+def test_junk_on_both_sides(spark):
+    """Junk that is a share of the corpus, as in documents, doesn't predict itself."""
+    import random
+
+    r = random.Random(2)
+    clean = [(i, prose(i, 150), "en") for i in range(200)]
+    marks = [(1000 + i, " ".join("".join(r.choice("qxzjkvw") for _ in range(4)) + r.choice(["$$$", "&&&", "###"]) for _ in range(150)), "en") for i in range(8)]
+    again = [(2000 + i, (prose(500 + i, 1) + " ") * 150, "en") for i in range(8)]
+    got = {x.doc_id: x for x in P.perplexity_bands(table(spark, *clean, *marks, *again)).collect()}
+    assert sum(not got[i].keep for i in range(200)) <= 2
+    assert all(got[i].perplexity > got[i].upper and not got[i].keep for i, *_ in marks)
+    assert all(got[i].perplexity < got[i].lower and not got[i].keep for i, *_ in again)
+
+
+def test_urn_of_model_and_earlier_text(spark):
+    """Both ways of scoring texts that the model wasn't counted on, against the definition one character at a time."""
+    docs, new = table(spark, *enumerate(prose(i, 30) for i in range(10))), [prose(50, 20), "amet amet amet amet", "Zé amet€", ""]
+    model = P.materialize(P.kneser_ney(P.top_counts(docs)))
+    arrays = P.load_arrays(model)
+    seed, a, want = P.seed_of("en"), P.CACHE, []
+    for t in new:
+        s, total, seen, after = [ord(c) for c in P.BOS * (P.ORDER - 1) + t], 0.0, Counter(), Counter()
+        for i in range(P.ORDER - 1, len(s)):
+            gram = tuple(s[i - P.ORDER + 1 : i + 1])
+            p = math.exp(P.log_probabilities(arrays, np.array(s, np.uint32), np.array([i]), np.array([seed]), P.ORDER)[0])
+            total += math.log((seen[gram] + a * p) / (after[gram[:-1]] + a))
+            seen[gram] += 1
+            after[gram[:-1]] += 1
+        want.append(total)
+    x = table(spark, *enumerate(new))
+    by_array = {r.doc_id: r for r in P.score_arrays(x, arrays, cache=a).collect()}
+    by_join = {r.doc_id: r for r in P.score_join(x, model, cache=a).collect()}
+    for got in (by_array, by_join):
+        assert np.allclose([got[i].log_p for i in range(len(new))], want, rtol=1e-5)
+    assert np.allclose([by_array[i].squares for i in range(len(new))], [by_join[i].squares for i in range(len(new))], rtol=1e-4, atol=1e-6)
+
+
 def test_odd_rows(spark):
     rows = P.perplexity_bands(odd(spark)).collect()
     assert len(rows) == len(ROWS)
