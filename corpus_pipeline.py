@@ -8,7 +8,8 @@ the operators' docstrings say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, mixing, ngram_join, quality_zstd, token_output
 from quillspark.llm.common import materialize
@@ -39,9 +40,25 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token table (doc_id, source, lang, n_tokens, tokens), rows left in training order."""
+    """The token table (doc_id, source, lang, n_tokens, tokens, position) in training
+    order. position: the row's place in that order, from 0, as a reader of several
+    files doesn't keep theirs."""
     ship(spark)
-    return token_output.token_output(docs, sort=())
+    return token_output.token_output(in_written_order(docs), sort=("position",), also=("position",)).orderBy("position")
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, text, position): position is a row's place, from 0, in
+    the order that docs was written in. Spark reads large files first; part
+    numbers and rows in a file tell the order. What isn't just read is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs)
+    x = docs.select("doc_id", "source", "lang", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    part = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1)
+    before = Window.orderBy(F.expr("length(part)"), "part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy("file").agg(F.count("*").alias("n")).withColumn("part", part)
+    starts = starts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each file
+    return x.join(F.broadcast(starts), "file").select("doc_id", "source", "lang", "text", (F.col("start") + F.col("at")).alias("position"))
 
 
 STAGES = [
@@ -56,8 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents in order, each result written as Parquet and read again."""
+    """The stages applied to documents in order, each result written as Parquet and read again; rows in training order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
-    return docs
+    return docs.orderBy("position")

@@ -75,8 +75,8 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
     return _encoders[path, cache]
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, tokens): the ids of each row's text.
+def encode(docs: DataFrame, vocabulary: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, n_tokens, tokens) and the columns also: the ids of each row's text.
 
     A null or empty text has no tokens (an empty list, never null); null metadata
     stay null; repeated rows repeat; an empty table gives none. Other columns
@@ -91,9 +91,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 raw = [ids(t) for t in part.column(3).to_pylist()]
                 size = np.array([len(r) // 4 for r in raw], np.int64)
                 tokens = list_array(np.frombuffer(b"".join(raw), np.int32), np.r_[0, np.cumsum(size)], pa.int32())
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(size.astype(np.int32)), tokens], ["doc_id", "source", "lang", "n_tokens", "tokens"])
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(size.astype(np.int32)), tokens, *part.columns[4:]], ["doc_id", "source", "lang", "n_tokens", "tokens", *also])
 
-    return pick(docs, "doc_id", "source", "lang", "text").mapInArrow(run, "doc_id bigint, source string, lang string, n_tokens int, tokens array<int>")
+    types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return pick(docs, "doc_id", "source", "lang", "text", *also).mapInArrow(run, f"doc_id bigint, source string, lang string, n_tokens int, tokens array<int>{types}")
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", sort: tuple[str, ...] = ("source", "lang", "doc_id"), row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
@@ -119,10 +120,10 @@ def read_metadata(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "source", "lang", "n_tokens")
 
 
-def token_output(docs: DataFrame, vocabulary: str | None = None, encoding: str = "dictionary", sort: tuple[str, ...] = ("source", "lang", "doc_id")) -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str | None = None, encoding: str = "dictionary", sort: tuple[str, ...] = ("source", "lang", "doc_id"), also: tuple[str, ...] = ()) -> DataFrame:
     """The token table of docs, written to the shared folder and read from there."""
     spark = docs.sparkSession
-    path, made = shared_dir(spark), encode(docs, vocabulary)
+    path, made = shared_dir(spark), encode(docs, vocabulary, also)
     write_tokens(made, path, encoding, sort)
     _written.append((spark, path))
     return spark.read.schema(made.schema).parquet(path)

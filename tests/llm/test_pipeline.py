@@ -50,6 +50,25 @@ def test_stages_keep_the_columns(spark, folder):
     assert len(position) == 120
 
 
+def test_training_order_survives_files(spark, folder, tmp_path):
+    """Files of unequal size, the last ones largest: they're read before the others."""
+    path, _ = folder
+    sizes = [3, 1, 40, 2, 90, 7]
+    for k, n in enumerate(sizes):
+        first = sum(sizes[:k])
+        rows = [(first + i, unlike(first + i, 20 * n)) for i in range(n)]
+        table(spark, *rows).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        made = next((tmp_path / str(k)).glob("part-*.parquet"))
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        made.rename(tmp_path / "mixed" / f"part-{k:05d}-x-c000.parquet")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    for docs in (mixed, mixed.orderBy("doc_id")):
+        made = corpus_pipeline.token_id_output(spark, docs, path)
+        made.write.mode("overwrite").parquet(f"{tmp_path}/out")
+        assert [r.doc_id for r in made.collect()] == list(range(sum(sizes)))
+        assert all(r.position == r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
 def test_empty(spark, folder, tmp_path):
     path, _ = folder
     for t in ("documents", "labels", "benchmark"):
