@@ -31,6 +31,17 @@ def test_held_out_accuracy(spark):
     assert all(r.keep for r in Z.score(table(spark, (1, "the"), (2, "a b.")), model).collect())  # too short to tell
 
 
+def test_dictionary_is_of_all_texts():
+    """The first texts count as the last do, though all have less than ten dictionaries' bytes."""
+    size, first, last = 16 << 10, [prose(i, 80) for i in range(60)], [bad(i, 80).replace("E", "0") for i in range(100)]
+    assert sum(map(len, first + last)) < 10 * size < 10 * sum(map(len, last))
+    tail = Z.compressor(b"".join(t.encode() for t in first + last)[-size:])
+    made = Z.compressor(Z.dictionary(first + last, size))
+    fresh = [prose(1000 + i, 80).encode() for i in range(20)]
+    assert sum(len(made.compress(t)) for t in fresh) < 0.8 * sum(len(tail.compress(t)) for t in fresh)
+    assert set(b"abc") <= set(Z.dictionary(["aaaa" * 10, "bbbb" * 10, "cccc" * 10], 30))  # too little to train on
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
     rows = Z.classify(odd(spark), labels).collect()
