@@ -13,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text handled at once by the numpy kernels; bounds their temporaries.
 SLICE_BYTES = 1 << 20
-#: A side is broadcast only if rows x width stays under this.
+#: A side is broadcast only if the bytes of its rows, as measured, stay under this.
 BROADCAST_BYTES = 64 << 20
 
 _written: list[tuple[SparkSession, str]] = []
@@ -63,11 +64,36 @@ def _cleanup() -> None:
             return
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it's small by count, else unhinted, so that
-    the join shuffles. Pass a materialised df: it's counted here."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value on the heap."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("bigint"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            return F.coalesce(F.array_size(c), F.lit(0)).cast("bigint") * 8 + 24
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("bigint"), lambda t, x: t + _width(x, kind.elementType)), F.lit(24))
+    return F.lit(8).cast("bigint")
+
+
+def heap_bytes(df: DataFrame) -> int:
+    """The bytes of all rows of df, measured."""
+    return df.agg(F.coalesce(F.sum(_width(F.struct(*(F.col(f"`{c}`") for c in df.columns)), df.schema)), F.lit(0))).first()[0]
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, which are measured here, are few bytes;
+    else unhinted, so that the join shuffles. Pass a materialised df."""
+    return F.broadcast(df) if heap_bytes(df) <= BROADCAST_BYTES else df
+
+
+def drop_rows(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs without the rows (doc_id, h), h being xxhash64 of the text; with how
+    left_semi these alone. rows is materialised. Null ids meet nothing."""
+    at, h = f"id_{uuid.uuid4().hex}", f"h_{uuid.uuid4().hex}"
+    r = sized_broadcast(rows.select(F.col("doc_id").alias(at), F.col("h").alias(h)))
+    return docs.join(r, (docs["doc_id"] == F.col(at)) & (F.xxhash64(docs["text"]) == F.col(h)), how)
 
 
 def bounded_sample(df: DataFrame, by: list[str], most: int, key: Column) -> DataFrame:

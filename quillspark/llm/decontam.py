@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, test_terms: DataFrame | None) -> DataFrame:
 
 def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, position) of the terms (term) asked for."""
-    x = index.select("ends", "docs", "positions", "ids", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms, 16), "term", "left_semi")
+    x = index.select("ends", "docs", "positions", "ids", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms), "term", "left_semi")
     start = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)
     part = lambda c: F.slice(c, start + 1, F.get("ends", F.col("k")) - start)
     return x.select("term", F.inline(F.arrays_zip(F.transform(part("docs"), lambda r: F.get("ids", r)).alias("doc_id"), part("positions").alias("position"))))
@@ -237,9 +237,9 @@ def judge(doc: np.ndarray, item: np.ndarray, starts: list[int], window: int, slo
 def _read_again(docs: DataFrame, items: DataFrame, candidates: DataFrame, window: int, slop: int, share: float) -> DataFrame:
     """The matches among candidates (doc_id, item_id, start), on their texts."""
     starts = candidates.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = starts.join(sized_broadcast(items, 512), "item_id")
+    found = starts.join(sized_broadcast(items), "item_id")
     found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
-    again = pick(docs, "doc_id", "text").join(sized_broadcast(found, 4096), "doc_id").select("doc_id", "text", "found")
+    again = pick(docs, "doc_id", "text").join(sized_broadcast(found), "doc_id").select("doc_id", "text", "found")
     return again.mapInArrow(_verifier(window, slop, share), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
 
 
@@ -275,4 +275,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item; a null doc_id stays."""
     gone = materialize(matches(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = pick(docs, "doc_id", "lang").where("doc_id is not null").join(chosen, "doc_id")
     ids = materialize(bounded_sample(ids, ["lang", "quality"], per_class, F.col("doc_id")).select("doc_id", "quality"))
-    texts = pick(docs, "doc_id", "lang", "text").join(sized_broadcast(ids, 32), "doc_id").where("text is not null and text <> ''")
+    texts = pick(docs, "doc_id", "lang", "text").join(sized_broadcast(ids), "doc_id").where("text is not null and text <> ''")
     rows = sorted({(r.doc_id, r.lang, r.quality, r.text) for r in texts.collect()}, key=lambda r: (hash_order(r[0]), r[3]))
     return fit_rows([r[1:] for r in rows])
 

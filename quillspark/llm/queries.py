@@ -54,4 +54,4 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_html, op3_quality, op4_token_output, op5_ngram_jaccard, op6_decontamination, op7_token_counts, op8_line_dedup, op9_urls, op10_perplexity)}
-SQL = {"op1_mixing": mixing.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op5_ngram_jaccard": ngram_join.SQL}
