@@ -5,24 +5,31 @@ the test vocabulary, postings of (document, position). Document
 frequencies come from the index. A test item is cut into blocks so short that any
 match leaves one of them as it is. Of each block the rarest term's postings,
 shifted by its offset, give the places where the item could start; those of the
-second rarest, shifted likewise, must agree. Only documents that remain are read
-again, to tell an exact phrase of `WINDOW` words or more from a passage most of
-whose words are near.
+second rarest, shifted likewise, must agree. A slice's row of the index has all of an
+item's words in its documents, so there, without texts, an exact phrase of `WINDOW` words
+or more is told from a passage most of whose words are near.
+
+Items are taken in parts of at most `PART_BYTES` of terms and anchors, which go to all
+executors; a benchmark of several parts is a pass over the texts for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, list_array, materialize, pick, sized_broadcast, slices, text_buffers, words
+from .common import drop_rows, list_array, materialize, pick, slices, text_buffers, words
 
 #: Words of an exact phrase; the least words of an item; shift and share of words of a proximity match.
 WINDOW, LEAST_WORDS, SLOP, SHARE = 8, 5, 3, 0.8
+PART_BYTES = 64 << 20
+#: Bytes of a word of an item and of an anchor on the executors.
+_WORD_BYTES, _ANCHOR_BYTES = 16, 40
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,29 +38,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), list_array(h.view(np.int64), first, pa.int64())], ["item_id", "terms"])
 
 
-_INDEX = "terms bigint, n_docs bigint, ends int, docs int, positions int, ids bigint"
+_INDEX = "terms bigint, n_docs bigint, ends int, docs int, positions int, ids bigint, hashes bigint"
 INDEX = ", ".join("{} array<{}>".format(*c.split()) for c in _INDEX.split(", "))
 
 
 def _indexer(vocabulary):
     """A row for each slice of texts: its terms in order, in how many documents each
     is, where its postings end, the postings (docs, positions), docs being places in
-    the last column, the rows' ids: two texts under one id stay apart. vocabulary: a
-    broadcast sorted array, or None for all terms."""
+    the last columns, the rows' ids and hashes of their texts: two texts under one id
+    stay apart. vocabulary: a broadcast sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if vocabulary is None else vocabulary.value
+        known = vocabulary.value
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            buf, offs = text_buffers(batch.column(1))
+            ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            buf, offs = text_buffers(batch.column(2))
             for i, j, part, at in slices(buf, offs):
                 h, first = words(part, at)
                 h = h.view(np.int64)
-                if known is None:
-                    hit = np.arange(len(h))
-                else:
-                    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = np.flatnonzero(known[where] == h)
+                where = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[where] == h)
                 if not len(hit):
                     continue
                 row = np.searchsorted(first, hit, "right") - 1
@@ -62,62 +66,56 @@ def _indexer(vocabulary):
                 t, row, place = t[order], row[order], (hit - first[row]).astype(np.int32)[order]
                 start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                 fresh = np.r_[True, (row[1:] != row[:-1]) | (t[1:] != t[:-1])]
-                columns = [t[start], np.add.reduceat(fresh, start).astype(np.int64), np.r_[start[1:], len(t)].astype(np.int32), row.astype(np.int32), place, ids[i:j]]
-                yield pa.record_batch([list_array(c, np.array([0, len(c)]), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["terms", "n_docs", "ends", "docs", "positions", "ids"])
+                columns = [t[start], np.add.reduceat(fresh, start).astype(np.int64), np.r_[start[1:], len(t)].astype(np.int32), row.astype(np.int32), place, ids[i:j], hashes[i:j]]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.record_batch([list_array(c, np.array([0, len(c)]), k) for c, k in zip(columns, types)], [c.split()[0] for c in _INDEX.split(", ")])
 
     return run
 
 
-def build_index(docs: DataFrame, test_terms: DataFrame | None) -> DataFrame:
+def build_index(docs: DataFrame, test_terms: DataFrame) -> DataFrame:
     """The positional index of docs (see INDEX), a row for each slice of texts, for
-    the terms of test_terms (term) if given and few enough to broadcast, else for
-    all. Rows with a null doc_id have none."""
-    known = None
-    if test_terms is not None and test_terms.count() * 8 <= BROADCAST_BYTES:
-        known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in test_terms.collect()), np.int64))
-        if not len(known.value):
-            docs = docs.limit(0)
-    return materialize(pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_indexer(known), INDEX))
-
-
-def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, position) of the terms (term) asked for."""
-    x = index.select("ends", "docs", "positions", "ids", F.posexplode("terms").alias("k", "term")).join(sized_broadcast(terms), "term", "left_semi")
-    start = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)
-    part = lambda c: F.slice(c, start + 1, F.get("ends", F.col("k")) - start)
-    return x.select("term", F.inline(F.arrays_zip(F.transform(part("docs"), lambda r: F.get("ids", r)).alias("doc_id"), part("positions").alias("position"))))
+    the terms of test_terms (term), which are broadcast. Rows with a null doc_id have none."""
+    known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in test_terms.collect()), np.int64))
+    x = docs.where("doc_id is not null" if len(known.value) else "false").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return materialize(x.mapInArrow(_indexer(known), INDEX))
 
 
-def block_size(m: Column, share: float) -> Column:
+def block_size(m: Column, share: float, window: int) -> Column:
     """The most words, 4 at most, in blocks of which an item of m words has more
-    than words that may differ; so that a match leaves some block as it is."""
+    than words that may differ, and of which a phrase of window words holds a whole
+    one; so that a match leaves some block as it is."""
     differ = F.floor((1 - share) * m + 1e-9)
-    fits = lambda n: F.floor(m / n) > differ
-    return F.when(fits(4), 4).when(fits(3), 3).otherwise(2)
+    fits = lambda n: (F.floor(m / n) > differ) & F.lit(2 * n - 1 <= window)
+    return F.when(fits(4), 4).when(fits(3), 3).when(fits(2), 2).otherwise(1)
 
 
-def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE) -> DataFrame:
-    """(item_id, o1, t1, o2, t2): for each block of an item's words the offset and
-    hash of its two rarest terms. Blocks with a term that the index lacks stand nowhere."""
+def rarest_terms(items: DataFrame, index: DataFrame, share: float = SHARE, window: int = WINDOW) -> DataFrame:
+    """(item, o1, t1, o2, t2): for each block of an item's words the offset and
+    hash of its two rarest terms, twice the same of a block of one word. Blocks with a
+    term that the index lacks stand nowhere."""
     df = index.select(F.inline(F.arrays_zip("terms", "n_docs"))).groupBy(F.col("terms").alias("term")).agg(F.sum("n_docs").alias("df"))
-    at = items.withColumn("size", block_size(F.col("m"), share)).select("item_id", "m", "size", F.posexplode("terms").alias("offset", "term")).join(df, "term")
+    at = items.withColumn("size", block_size(F.col("m"), share, window)).select("item", "m", "size", F.posexplode("terms").alias("offset", "term")).join(df, "term")
     x = at.withColumn("block", F.floor(F.col("offset") / F.col("size"))).where(F.col("block") < F.floor(F.col("m") / F.col("size")))
     two = F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, 2).alias("two")
-    x = x.groupBy("item_id", "block", "size").agg(two, F.count("*").alias("n")).where(F.col("n") == F.col("size"))
-    return x.select("item_id", *(F.col("two")[k][c].alias(f"{c[0]}{k + 1}") for k in (0, 1) for c in ("offset", "term")))
+    x = x.groupBy("item", "block", "size").agg(two, F.count("*").alias("n")).where(F.col("n") == F.col("size"))
+    x = x.select("item", F.get("two", F.lit(0)).alias("a"), F.element_at("two", -1).alias("b"))
+    return x.select("item", F.col("a.offset").alias("o1"), F.col("a.term").alias("t1"), F.col("b.offset").alias("o2"), F.col("b.term").alias("t2"))
+
+
+_FOUND = "doc_id bigint, h bigint, item bigint, kind string, position int, n_words int"
 
 
-def _intersector(shared, decide=None):
-    """Rows of the index to (doc_id, item_id, start): where both lists of an anchor,
-    shifted by their offsets, agree. A document is in one row, so no exchange is
-    needed; nor are texts to decide: the row has all of an item's words in a
-    document. decide: (terms by item, window, slop, share), to give matches instead."""
+def _intersector(shared, window: int, slop: int, share: float):
+    """Rows of the index to matches (see _FOUND): where both lists of an anchor, shifted
+    by their offsets, agree, the item is held against the document. A document is in
+    one row, so no exchange is needed; nor are texts: the row has all of an item's words in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, o1, t1, o2, t2 = shared.value
+        known, (item, o1, t1, o2, t2) = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                terms, ends, docs, places, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 2, 3, 4, 5))
+                terms, ends, docs, places, ids, hashes = (np.asarray(batch.column(c)[k].values) for c in (0, 2, 3, 4, 5, 6))
                 key = (docs.astype(np.int64) << 32) + places  # shifted alike, as starts are above -2^31
                 key0 = key
                 key = key[np.lexsort((key, np.searchsorted(ends, np.arange(len(key)), "right")))]  # each list in order
@@ -135,17 +133,13 @@ def _intersector(shared, decide=None):
                 if found:
                     items, both = map(np.concatenate, zip(*found))
                     home = (both + (1 << 31)) >> 32
-                    if decide:
-                        yield from _decided(decide, terms, ends, docs, key0, ids, items, home, both)
-                        continue
-                    yield pa.record_batch([pa.array(ids[home]), pa.array(items), pa.array((both - (home << 32)).astype(np.int32))], ["doc_id", "item_id", "start"])
+                    yield from _decided(known, window, slop, share, terms, ends, key0, ids, hashes, items, home, both)
 
     return run
 
 
-def _decided(decide, terms, ends, docs, key, ids, items, home, both) -> Iterator[pa.RecordBatch]:
+def _decided(known, window, slop, share, terms, ends, key, ids, hashes, items, home, both) -> Iterator[pa.RecordBatch]:
     """The matches among candidate starts, on documents rebuilt from a row of the index."""
-    known, window, slop, share = decide
     word = terms[np.searchsorted(ends, np.arange(len(key)), "right")]
     order = np.argsort(key, kind="stable")
     key, word = key[order], word[order]
@@ -161,55 +155,18 @@ def _decided(decide, terms, ends, docs, key, ids, items, home, both) -> Iterator
             at = key[lo:hi] - (last << 32)
             doc = np.full(int(at[-1]) + 1, _NO_WORD, np.int64)
             doc[at] = word[lo:hi]
-        best = judge(doc, known.value[int(items[a])], starts[a:b].tolist(), window, slop, share)
+        best = judge(doc, known[int(items[a])], starts[a:b].tolist(), window, slop, share)
         if best:
-            out.append((int(ids[last]), int(items[a]), *best))
+            out.append((int(ids[last]), int(hashes[last]), int(items[a]), *best))
     if out:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "item_id", "kind", "position", "n_words"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in _FOUND.split(", ")])
 
 
 #: Stands for words that no item has; a word's hash is this with chance 2^-64.
 _NO_WORD = -(1 << 63)
 
 
-def places(index: DataFrame, anchors: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, item_id, start) where an anchor's two lists agree; anchors of more
-    than `most` bytes meet the postings in joins instead of being broadcast."""
-    if anchors.count() * 40 <= most:
-        got = anchors.toArrow()
-        shared = index.sparkSession.sparkContext.broadcast([np.asarray(got[c]) for c in ("item_id", "o1", "t1", "o2", "t2")])
-        return index.mapInArrow(_intersector(shared), "doc_id bigint, item_id bigint, start int")
-    one = postings(index, anchors.select(F.col("t1").alias("term")).distinct())
-    two = postings(index, anchors.select(F.col("t2").alias("term")).distinct())
-    first = one.join(anchors, one.term == anchors.t1).select("item_id", "doc_id", (F.col("position") - F.col("o1")).alias("start"), "t2", "o2")
-    second = two.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), "position")
-    both = first.join(second, (F.col("t2") == F.col("t")) & (F.col("doc_id") == F.col("d")) & (F.col("start") + F.col("o2") == F.col("position")))
-    return both.select("doc_id", "item_id", "start")
-
-
-def _verifier(window: int, slop: int, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = batch.column(0), batch.column(2).to_pylist()
-            buf, offs = text_buffers(batch.column(1))
-            out = []
-            for i, j, part, at in slices(buf, offs):
-                h, first = words(part, at)
-                h = h.view(np.int64)
-                for k in range(i, j):
-                    doc = h[first[k - i] : first[k - i + 1]]
-                    for c in found[k]:
-                        best = judge(doc, np.array(c["terms"], np.int64), c["starts"], window, slop, share)
-                        if best:
-                            out.append((ids[k].as_py(), c["item_id"], *best))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "item_id", "kind", "position", "n_words"])
-
-    return run
-
-
 def judge(doc: np.ndarray, item: np.ndarray, starts: list[int], window: int, slop: int, share: float) -> tuple[str, int, int] | None:
     """(kind, position, words) of the best match of an item in a document, given
     the places where it may start: the longest exact phrase if it has min(window,
@@ -234,16 +191,28 @@ def judge(doc: np.ndarray, item: np.ndarray, starts: list[int], window: int, slo
     return None
 
 
-def _read_again(docs: DataFrame, items: DataFrame, candidates: DataFrame, window: int, slop: int, share: float) -> DataFrame:
-    """The matches among candidates (doc_id, item_id, start), on their texts."""
-    starts = candidates.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    found = starts.join(sized_broadcast(items), "item_id")
-    found = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "terms", "starts")).alias("found")))
-    again = pick(docs, "doc_id", "text").join(sized_broadcast(found), "doc_id").select("doc_id", "text", "found")
-    return again.mapInArrow(_verifier(window, slop, share), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, least_words: int, slop: int, share: float, part_bytes: int) -> DataFrame:
+    """(doc_id, h, item_id, kind, position, n_words) of every text and item that match; h is the text's hash."""
+    if window < 1 or least_words < 1 or slop < 0 or not 0 < share <= 1:
+        raise ValueError("window and least_words are at least 1, slop at least 0, share above 0 and at most 1")
+    spark = docs.sparkSession
+    items = pick(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(_tokens, "item_id bigint, terms array<bigint>")
+    items = items.withColumn("m", F.size("terms")).where(F.col("m") >= least_words).distinct()
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()))
+    total = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] * (_WORD_BYTES + _ANCHOR_BYTES)  # an anchor a word at most
+    parts, made = 1 + total // part_bytes, []
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
+        index = build_index(docs, own.select(F.explode("terms").alias("term")).distinct())
+        got = rarest_terms(own, index, share, window).toArrow()
+        known = {r.item: np.array(r.terms, np.int64) for r in own.select("item", "terms").collect()}
+        shared = spark.sparkContext.broadcast((known, [np.asarray(got[c]) for c in ("item", "o1", "t1", "o2", "t2")]))
+        made.append(index.mapInArrow(_intersector(shared, window, slop, share), _FOUND))
+    found = reduce(DataFrame.union, made)
+    return found.join(F.broadcast(items.select("item", "item_id")) if parts == 1 else items.select("item", "item_id"), "item").drop("item")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, slop: int = SLOP, share: float = SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, kind, position, n_words): every document that holds a
     benchmark item: kind phrase if `window` of its words (all of a shorter item)
     stand there in a row, with the longest such run's word position and length;
@@ -253,26 +222,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_w
 
     Words are runs of letters and digits, lower-cased. Items of fewer than
     least_words words, and null items, match nothing; neither do rows with a null
-    doc_id or text. Repeated rows give one match; of one doc_id with several
-    texts the best. Empty tables give no rows; other columns aren't read."""
-    items = pick(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(_tokens, "item_id bigint, terms array<bigint>")
-    items = materialize(items.withColumn("m", F.size("terms")).where(F.col("m") >= least_words).distinct())
-    terms = materialize(items.select(F.explode("terms").alias("term")).distinct())
-    index = build_index(docs, terms)
-    anchors = materialize(rarest_terms(items, index, share))
-    width = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] * 8
-    if width <= BROADCAST_BYTES and items.groupBy("item_id").count().where("count > 1").isEmpty() and anchors.count() * 40 <= BROADCAST_BYTES:
-        sc, got = docs.sparkSession.sparkContext, anchors.toArrow()
-        known = sc.broadcast({r.item_id: np.array(r.terms, np.int64) for r in items.collect()})
-        shared = sc.broadcast([np.asarray(got[c]) for c in ("item_id", "o1", "t1", "o2", "t2")])
-        made = index.mapInArrow(_intersector(shared, (known, window, slop, share)), "doc_id bigint, item_id bigint, kind string, position int, n_words int")
-    else:
-        made = _read_again(docs, items, places(index, anchors), window, slop, share)
-    best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy("kind", F.desc("n_words"), "position"))
-    return made.withColumn("__r", best).where("__r = 1").drop("__r")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item; a null doc_id stays."""
-    gone = materialize(matches(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    doc_id or text. Repeated rows give one match; of one doc_id or item_id with several
+    texts the best. Empty tables give no rows; other columns aren't read.
+    window, least_words, slop and share out of range raise a ValueError."""
+    found = _found(docs, benchmark, window, least_words, slop, share, part_bytes)
+    best = F.min(F.struct("kind", (-F.col("n_words")).alias("n"), "position")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.position", (-F.col("best.n")).alias("n_words"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, slop: int = SLOP, share: float = SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """docs without the texts that hold a benchmark item. Rows are told by doc_id and
+    text: another text under the same doc_id stays, and so do rows with a null doc_id
+    or text. Empty tables change nothing; other columns are kept as they are."""
+    found = _found(docs, benchmark, window, least_words, slop, share, part_bytes)
+    return drop_rows(docs, materialize(found.select("doc_id", "h").distinct()))

@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 from odd import LONG, none, odd, prose, table
 
 from quillspark.llm import decontam as D
@@ -77,22 +75,38 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.item_id) for r in D.matches(odd(spark), items).collect()}
     assert got == {(1, 1), (2, 1), (8, 4), (9, 4)}
     kept = D.decontaminate(odd(spark), items).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(["None", "None", "4", "5", "6", "7", "10"]) and kept[0].term == "clash"
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["None", "None", "1", "4", "5", "6", "7", "10"]) and kept[0].term == "clash"
     assert D.matches(none(spark), items).collect() == []
     assert D.matches(odd(spark), bench(spark, [])).collect() == []
     assert D.decontaminate(odd(spark), bench(spark, [])).count() == odd(spark).count()
 
 
-def test_index_without_a_vocabulary(spark):
-    ix = D.build_index(table(spark, (1, "a b a"), (2, "b")), None)
-    rows = D.postings(ix, ix.select(F.explode("terms").alias("term")).distinct()).collect()
-    assert sorted((r.doc_id, r.position) for r in rows) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+def test_two_texts_under_one_id(spark):
+    """A clean text stays though another of the same doc_id goes; so does one whose item_id has two texts."""
+    leak, clean = f"{prose(1, 20)} {ITEMS[0][1]}", prose(2, 60)
+    docs, items = table(spark, (1, leak), (1, clean), (2, clean), (2, ITEMS[3][1])), bench(spark, [(1, ITEMS[0][1]), (1, ITEMS[3][1])])
+    assert sorted((r.doc_id, r.text) for r in D.decontaminate(docs, items).collect()) == [(1, clean), (2, clean)]
+    assert sorted((r.doc_id, r.item_id, r.n_words) for r in D.matches(docs, items).collect()) == [(1, 1, 30), (2, 1, 30)]
 
 
-def test_both_ways_to_intersect(spark):
+def test_parts_of_the_benchmark(spark):
     docs = table(spark, *((i, f"{prose(i, 5)} {unlike(i % 9, 30)} {unlike(i % 9, 30)}") for i in range(40)), (1, unlike(3, 30)), (-5, unlike(2, 30)))
-    items = D.materialize(bench(spark).mapInArrow(D._tokens, "item_id bigint, terms array<bigint>").withColumn("m", F.size("terms")).where("m > 4"))
-    ix = D.build_index(docs, items.select(F.explode("terms").alias("term")).distinct())
-    anchors = D.materialize(D.rarest_terms(items, ix))
-    rows = lambda most: sorted(set(map(tuple, D.places(ix, anchors, most).collect())))
-    assert rows(1 << 20) == rows(0) != []
+    got = [sorted(map(tuple, D.matches(docs, bench(spark), part_bytes=n).collect())) for n in (D.PART_BYTES, 5000)]
+    assert got[0] == got[1] != []
+
+
+def test_parameters(spark):
+    """Short windows find phrases wherever they stand in an item, low shares items half changed."""
+    w = unlike(77, 31).split()
+    docs = table(spark, *((k, f"{prose(k, 12)} {' '.join(w[k : k + 4])} {prose(k + 50, 9)}") for k in range(28)))
+    got = {r.doc_id for r in D.matches(docs, bench(spark, [(1, " ".join(w))]), window=4, share=1.0).collect()}
+    assert got == set(range(28))
+    half = [x if k % 2 else f"other{k}" for k, x in enumerate(w)]
+    docs = table(spark, (1, " ".join(half)), (2, prose(3, 30)))
+    assert {r.doc_id for r in D.matches(docs, bench(spark, [(1, " ".join(w))]), share=0.48).collect()} == {1}
+    for bad in ({"window": 0}, {"share": 0}, {"share": 1.5}, {"slop": -1}):
+        try:
+            D.matches(docs, bench(spark), **bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
