@@ -7,19 +7,24 @@ a source stand in a seeded pseudo-random order; the tokens before a document,
 inverted through D, give the time at which the run asks for it. A source asked
 for more than it has goes round again (epoch 1, 2, ...).
 
-The running sum over a source isn't one window: the order's first hex digits cut
-a source into 16^digits buckets, whose totals give each bucket's start, and windows
-run inside the buckets. So a hot source is spread like any other.
+The running sum over a source isn't one window: the order's first hex digits, more
+of them the more rows there are, cut a source into 16^digits buckets, whose totals give
+each bucket's start, and windows run inside the buckets. So a hot source is spread like
+any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized_broadcast
 
-SEED, ALPHA, MAX_EPOCHS, DIGITS = "mix-1", 0.7, 4, 3
+SEED, ALPHA = "mix-1", 0.7
+#: Rows that a bucket of the pseudo-random order holds, about, of a source that has all.
+BUCKET_ROWS = 1 << 16
 
 
 def n_tokens(text: Column) -> Column:
@@ -39,24 +44,26 @@ def _src(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def pieces(supply: DataFrame, schedule: DataFrame, total: float | None, max_epochs: int) -> DataFrame:
-    """(src, supply, limit, pieces): each source's linear pieces (t0, t1, w0, w1, d0)
-    with its demand before each, and how many of its tokens are asked for. One row a source."""
+def pieces(supply: DataFrame, schedule: DataFrame, total: float | None, max_epochs: int | None) -> DataFrame:
+    """(src, supply, limit, pieces, total): each source's linear pieces (t0, t1, w0, w1, d0)
+    with its demand before each, and how many of its tokens are asked for. One row a source.
+    At a knot whose weights are all 0 nothing is asked for."""
     by_knot, by_src = Window.partitionBy("t"), Window.partitionBy("src").orderBy("t")
-    knots = schedule.join(supply, "src").withColumn("w", F.col("weight") / F.sum("weight").over(by_knot))
+    knots = schedule.join(supply, "src").withColumn("w", F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(by_knot)), F.lit(0.0)))
     x = knots.select("src", "supply", F.col("t").alias("t0"), F.lead("t").over(by_src).alias("t1"), F.col("w").alias("w0"), F.lead("w").over(by_src).alias("w1")).where("t1 is not null")
     x = x.withColumn("area", (F.col("t1") - F.col("t0")) * (F.col("w0") + F.col("w1")) / 2)
     x = x.withColumn("before", F.coalesce(F.sum("area").over(Window.partitionBy("src").orderBy("t0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = x.groupBy("src", "supply").agg(F.sum("area").alias("share"), F.sort_array(F.collect_list(F.struct("t0", "t1", "w0", "w1", "before"))).alias("pieces"))
     t = F.lit(float(total)) if total is not None else F.max(F.when(F.col("share") > 0, F.col("supply") / F.col("share"))).over(Window.partitionBy())
     s = s.withColumn("total", t)
-    return s.withColumn("limit", F.least(F.col("share") * F.col("total"), (F.col("supply") * max_epochs).cast("double")))
+    asked = F.col("share") * F.col("total")
+    return s.withColumn("limit", asked if max_epochs is None else F.least(asked, (F.col("supply") * max_epochs).cast("double")))
 
 
 def _time(c: Column) -> Column:
     """The time at which a source's demand reaches c."""
-    y = c / F.col("__total")
-    last = F.element_at(F.filter("__pieces", lambda p: p["before"] <= y), -1)
+    y = c / F.col("total")
+    last = F.element_at(F.filter("pieces", lambda p: p["before"] <= y), -1)
     rise = (last["w1"] - last["w0"]) / (last["t1"] - last["t0"])  # twice the quadratic term
     need = y - last["before"]
     root = F.sqrt(F.greatest(last["w0"] * last["w0"] + 2 * rise * need, F.lit(0.0)))
@@ -64,42 +71,46 @@ def _time(c: Column) -> Column:
     return F.when(low > 0, F.least(last["t0"] + 2 * need / low, last["t1"])).otherwise(last["t0"])
 
 
-def mix(docs: DataFrame, schedule: DataFrame | None = None, total: float | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
+def mix(docs: DataFrame, schedule: DataFrame | None = None, total: float | None = None, max_epochs: int | None = None, seed: str = SEED, digits: int | None = None) -> DataFrame:
     """docs in training order, with (n_tokens, epoch, position): a row for each
     time that a document is asked for, position being its time in [0, 1].
 
     schedule is (source, t, weight) with a row for every source at every knot, the
-    first at 0 and the last at 1; without one it's natural_to_smoothed. total is
-    the run's tokens; without one, the least at which every document is asked for
-    once (a source of weight 0 apart). max_epochs bounds the repeats of a source;
-    what it then lacks is left unfilled.
+    first at 0 and the last at 1; without one it's natural_to_smoothed. At a knot whose
+    weights are all 0 nothing is asked for. total is the run's tokens; without one, the
+    least at which every document is asked for once (a source of weight 0 apart). A source is
+    repeated as often as its weights ask, unless max_epochs bounds it; what it then
+    lacks is left unfilled. digits changes no result.
 
     A null source is a source of its own, and no schedule's unless it has rows of
     a null source; sources absent from the schedule aren't asked for. A null or
     empty text counts one token. Rows that repeat a doc_id are documents of their
     own, ordered by their texts; a null doc_id has an order too. An empty table
-    gives no rows. Columns named n_tokens, epoch or position are replaced."""
-    names = [c for c in docs.columns if c not in ("n_tokens", "epoch", "position")]
+    gives no rows. Columns named n_tokens, epoch or position are replaced, others kept
+    whatever their names."""
+    names = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch", "position")]
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(1, docs.count()) / BUCKET_ROWS, 16)))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    x = docs.select(*names, n_tokens(F.col("text")).alias("n_tokens"), _src(F.col("source")).alias("__src"), order.alias("__order"))
-    x = x.withColumn("__bucket", F.substring("__order", 1, digits))
-    buckets = materialize(x.groupBy("__src", "__bucket").agg(F.sum("n_tokens").alias("__n")))
-    supply = buckets.groupBy(F.col("__src").alias("src")).agg(F.sum("__n").alias("supply"))
-    w = Window.partitionBy("__src").orderBy("__bucket")
-    buckets = buckets.select("__src", "__bucket", (F.sum("__n").over(w) - F.col("__n")).alias("__start"))
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), n_tokens(F.col("text")).alias("n"), _src(F.col("source")).alias("src"), order.alias("order"))
+    x = x.withColumn("bucket", F.substring("order", 1, digits))
+    buckets = materialize(x.groupBy("src", "bucket").agg(F.sum("n").alias("n")))
+    supply = buckets.groupBy("src").agg(F.sum("n").alias("supply"))
     if schedule is None:
         plan = natural_to_smoothed(supply)
     else:
         plan = schedule.select(_src(F.col("source")).alias("src"), F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("weight"))
-    plan = pieces(supply, plan, total, max_epochs).select(*(F.col(c).alias(f"__{c}") for c in ("src", "supply", "limit", "pieces", "total")))
-    inside = Window.partitionBy("__src", "__bucket").orderBy("__order", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("__sum", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    starts = buckets.join(F.broadcast(plan), "__src")  # plan: a row for each source
-    x = x.join(starts, ["__src", "__bucket"]).withColumn("__c", F.col("__start") + F.col("__sum"))
-    times = F.ceil((F.col("__limit") - F.col("__c")) / F.col("__supply")).cast("int")
+    plan = materialize(pieces(supply, plan, total, max_epochs))
+    w = Window.partitionBy("src").orderBy("bucket")
+    starts = materialize(buckets.select("src", "bucket", (F.sum("n").over(w) - F.col("n")).alias("start")).join(sized_broadcast(plan), "src"))
+    inside = Window.partitionBy("src", "bucket").orderBy("order", F.col("row.doc_id").asc_nulls_first(), F.col("row.text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("sum", F.sum("n").over(inside) - F.col("n"))
+    x = x.join(sized_broadcast(starts), ["src", "bucket"]).withColumn("c", F.col("start") + F.col("sum"))
+    times = F.ceil((F.col("limit") - F.col("c")) / F.col("supply")).cast("int")
     x = x.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    x = x.withColumn("position", F.round(_time((F.col("__c") + F.col("epoch") * F.col("__supply")).cast("double")), 9))
-    return x.select(*names, "n_tokens", "epoch", "position").orderBy("position", F.col("doc_id").asc_nulls_first(), "epoch")
+    x = x.withColumn("position", F.round(_time((F.col("c") + F.col("epoch") * F.col("supply")).cast("double")), 9))
+    x = x.sort("position", F.col("row.doc_id").asc_nulls_first(), "epoch")
+    return x.select("row.*", F.col("n").alias("n_tokens"), "epoch", "position")
 
 
 _RUNNING = "rows between unbounded preceding and 1 preceding"
@@ -113,7 +124,7 @@ shares as (select src, supply, supply::double / (sum(supply) over ())::double as
 knots as (select src, supply, w0 / sum(w0) over () as w0, pow(w0, {ALPHA}) / sum(pow(w0, {ALPHA})) over () as w1 from shares),
 plan as (select *, (w0 + w1) / 2 as share, max(supply / ((w0 + w1) / 2)) over () as total from knots),
 c as (
-  select x.*, p.supply, p.w0, p.w1, p.total, least(p.share * p.total, (p.supply * {MAX_EPOCHS})::double) as lim,
+  select x.*, p.supply, p.w0, p.w1, p.total, p.share * p.total as lim,
          coalesce(sum(n_tokens) over (partition by x.src order by ord, doc_id nulls first, text nulls first {_RUNNING}), 0)::bigint as c
   from x join plan p on x.src = p.src),
 e as (select *, unnest(range(ceil((lim - c) / supply)::bigint))::int as epoch from c where lim > c)

@@ -7,7 +7,7 @@ from odd import none, odd, table
 from quillspark.llm import mixing as M
 
 
-def brute(rows, schedule=None, total=None, epochs=M.MAX_EPOCHS, seed=M.SEED, steps=20_000):
+def brute(rows, schedule=None, total=None, epochs=60, seed=M.SEED, steps=20_000):
     """Positions by numeric integration of the weights: (doc_id, epoch) to time."""
     by = defaultdict(list)
     for i, t, s in rows:
@@ -20,7 +20,7 @@ def brute(rows, schedule=None, total=None, epochs=M.MAX_EPOCHS, seed=M.SEED, ste
     knots = sorted({t for v in schedule.values() for t, _ in v})
 
     def weight(s, t):
-        pts = [(k, dict(schedule[s])[k] / sum(dict(schedule[x])[k] for x in schedule)) for k in knots]
+        pts = [(k, dict(schedule[s])[k] / (sum(dict(schedule[x])[k] for x in schedule) or 1.0)) for k in knots]
         for (a, x), (b, y) in zip(pts, pts[1:]):
             if t <= b:
                 return x + (y - x) * (t - a) / (b - a)
@@ -50,10 +50,16 @@ def brute(rows, schedule=None, total=None, epochs=M.MAX_EPOCHS, seed=M.SEED, ste
 ROWS = [(i, "w " * (1 + i * 7 % 30), ["a", "b", "c"][0 if i % 10 else i % 3]) for i in range(60)]
 
 
-@pytest.mark.parametrize("case", ["default", "curriculum"])
+PLANS = {
+    "curriculum": {"a": [(0.0, 1.0), (0.3, 0.5), (1.0, 0.0)], "b": [(0.0, 0.0), (0.3, 0.5), (1.0, 1.0)]},
+    "a knot of zeros": {"a": [(0.0, 1.0), (0.3, 0.0), (1.0, 0.5)], "b": [(0.0, 1.0), (0.3, 0.0), (1.0, 1.0)]},
+}
+
+
+@pytest.mark.parametrize("case", ["default", *PLANS])
 def test_against_integration(spark, case):
     docs = table(spark, *((i, t, "en", s) for i, t, s in ROWS))
-    plan = {"a": [(0.0, 1.0), (0.3, 0.5), (1.0, 0.0)], "b": [(0.0, 0.0), (0.3, 0.5), (1.0, 1.0)]}
+    plan = PLANS.get(case)
     if case == "default":
         got, want = M.mix(docs), brute(ROWS)
     else:
@@ -72,6 +78,20 @@ def test_everything_is_asked_for_once(spark):
     assert got[0].term == "clash"
 
 
+def test_weights_are_met_however_small_a_source(spark):
+    rows = [(i, "w " * 20, "en", "big") for i in range(50)] + [(100, "w " * 5, "en", "tiny")]
+    sched = spark.createDataFrame([(s, t, 1.0) for s in ("big", "tiny") for t in (0.0, 1.0)], "source string, t double, weight double")
+    got = M.mix(table(spark, *rows), sched).collect()
+    tokens = {s: sum(r.n_tokens for r in got if r.source == s) for s in ("big", "tiny")}
+    assert tokens["big"] == 50 * 21 and abs(tokens["tiny"] - tokens["big"]) <= 6
+
+
+def test_any_column_names(spark):
+    docs = table(spark, (1, "a b", "en", "s"), (2, "c", "en", "s")).selectExpr("*", "1 as __src", "2 as __order", "3 as row", "4 as `a.b`", "5 as n", "6 as c", "7 as bucket", "8 as sum", "9 as start", "'x' as Position")
+    got = M.mix(docs).collect()
+    assert [r["__src"] + r["row"] + r["a.b"] + r["n"] + r["sum"] for r in got] == [21, 21] and {r.doc_id for r in got} == {1, 2}
+
+
 def test_empty(spark):
     assert M.mix(none(spark)).collect() == []
 
