@@ -16,6 +16,7 @@ any other.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,10 +61,10 @@ def pieces(supply: DataFrame, schedule: DataFrame, total: float | None, max_epoc
     return s.withColumn("limit", asked if max_epochs is None else F.least(asked, (F.col("supply") * max_epochs).cast("double")))
 
 
-def _time(c: Column) -> Column:
+def _time(c: Column, total: Column, pieces: Column) -> Column:
     """The time at which a source's demand reaches c."""
-    y = c / F.col("total")
-    last = F.element_at(F.filter("pieces", lambda p: p["before"] <= y), -1)
+    y = c / total
+    last = F.element_at(F.filter(pieces, lambda p: p["before"] <= y), -1)
     rise = (last["w1"] - last["w0"]) / (last["t1"] - last["t0"])  # twice the quadratic term
     need = y - last["before"]
     root = F.sqrt(F.greatest(last["w0"] * last["w0"] + 2 * rise * need, F.lit(0.0)))
@@ -91,10 +92,13 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, total: float | None
     names = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch", "position")]
     if digits is None:
         digits = max(3, math.ceil(math.log(max(1, docs.count()) / BUCKET_ROWS, 16)))
+    tag = f"_{uuid.uuid4().hex}"  # no column of docs ends so
+    c = lambda name: F.col(name + tag)
+    own = lambda df: df.select(*(F.col(x).alias(x + tag) for x in df.columns))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), n_tokens(F.col("text")).alias("n"), _src(F.col("source")).alias("src"), order.alias("order"))
-    x = x.withColumn("bucket", F.substring("order", 1, digits))
-    buckets = materialize(x.groupBy("src", "bucket").agg(F.sum("n").alias("n")))
+    x = docs.select(*(F.col(f"`{k}`") for k in names), n_tokens(F.col("text")).alias("n" + tag), _src(F.col("source")).alias("src" + tag), order.alias("order" + tag))
+    x = x.withColumn("bucket" + tag, F.substring(c("order"), 1, digits))
+    buckets = materialize(x.groupBy(c("src").alias("src"), c("bucket").alias("bucket")).agg(F.sum(c("n")).alias("n")))
     supply = buckets.groupBy("src").agg(F.sum("n").alias("supply"))
     if schedule is None:
         plan = natural_to_smoothed(supply)
@@ -102,15 +106,16 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, total: float | None
         plan = schedule.select(_src(F.col("source")).alias("src"), F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("weight"))
     plan = materialize(pieces(supply, plan, total, max_epochs))
     w = Window.partitionBy("src").orderBy("bucket")
-    starts = materialize(buckets.select("src", "bucket", (F.sum("n").over(w) - F.col("n")).alias("start")).join(sized_broadcast(plan), "src"))
-    inside = Window.partitionBy("src", "bucket").orderBy("order", F.col("row.doc_id").asc_nulls_first(), F.col("row.text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("sum", F.sum("n").over(inside) - F.col("n"))
-    x = x.join(sized_broadcast(starts), ["src", "bucket"]).withColumn("c", F.col("start") + F.col("sum"))
-    times = F.ceil((F.col("limit") - F.col("c")) / F.col("supply")).cast("int")
+    starts = buckets.select("src", "bucket", (F.sum("n").over(w) - F.col("n")).alias("start"))
+    starts = materialize(own(starts.join(sized_broadcast(plan), "src")))
+    inside = Window.partitionBy(c("src"), c("bucket")).orderBy(c("order"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("sum" + tag, F.sum(c("n")).over(inside) - c("n"))
+    x = x.join(sized_broadcast(starts), ["src" + tag, "bucket" + tag]).withColumn("c" + tag, c("start") + c("sum"))
+    times = F.ceil((c("limit") - c("c")) / c("supply")).cast("int")
     x = x.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    x = x.withColumn("position", F.round(_time((F.col("c") + F.col("epoch") * F.col("supply")).cast("double")), 9))
-    x = x.sort("position", F.col("row.doc_id").asc_nulls_first(), "epoch")
-    return x.select("row.*", F.col("n").alias("n_tokens"), "epoch", "position")
+    at = (c("c") + F.col("epoch") * c("supply")).cast("double")
+    x = x.withColumn("position", F.round(_time(at, c("total"), c("pieces")), 9))
+    return x.select(*(F.col(f"`{k}`") for k in names), c("n").alias("n_tokens"), "epoch", "position").orderBy("position", F.col("doc_id").asc_nulls_first(), "epoch")
 
 
 _RUNNING = "rows between unbounded preceding and 1 preceding"
