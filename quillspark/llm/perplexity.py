@@ -5,7 +5,10 @@ each slice, the shuffle sums). Lower orders have the usual continuation counts,
 or plain counts after the start of a text; three discounts for each language and
 order come from the counts of counts; orders are interpolated down to a uniform
 distribution over the language's characters. The model is stored as arrays sorted
-by n-gram hash, with a directory over the leading bits.
+by n-gram hash, with a directory over the leading bits, in shards of about
+`SHARD_BYTES` by language and the character before the last: all that a character's
+probability rests on is in one shard. Each shard goes to all executors for a pass over
+the texts, and the passes' sums are added; one shard is the same plan.
 
 No text is scored by its own counts: texts fall into two halves by hash, copies
 into the same, and each half is scored by the other's model. What a text repeats
@@ -25,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, pick, slices, text_buffers
+from .common import materialize, mix, pick, sized_broadcast, slices, text_buffers
 
 ORDER = 5
 #: Half-width of the band in robust standard deviations; characters of a text that the spread is measured on.
 WIDTH, LEAST_CHARS = 4.0, 200
 #: Weight of the model against what a text repeats of itself, in occurrences.
 CACHE = 10.0
-#: A model of up to so many bytes goes to all executors as arrays; the documents' n-grams meet a larger one in a join.
-MODEL_BYTES = 256 << 20
+#: Bytes of a shard of the model, about; and of one entry.
+SHARD_BYTES, _ENTRY = 128 << 20, 12
 BOS = "\x02"
 _COUNT_BYTES = 2 << 20
 
@@ -132,7 +135,8 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
         for i, plain in ((1, 0.5), (2, 1.0), (3, 1.5)):
             value = F.lit(float(i)) - (i + 1) * F.col("y") * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}"))
             d = d.withColumn(f"d{i}", F.when(usable & (value > 0) & (value < i), value).otherwise(F.lit(plain)))
-        x = t.join(F.broadcast(d.select("lang", "d1", "d2", "d3")), "lang").withColumn("context", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
+        d = materialize(d.select("lang", "d1", "d2", "d3"))
+        x = t.join(sized_broadcast(d), "lang").withColumn("context", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
         context = x.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"))).alias("freed"), F.count("*").alias("kinds"))
         context = context.withColumn("g", F.col("freed") / F.col("total"))
         x = x.join(context, ["lang", "context"]).withColumn("lower", F.substring("gram", 2, n - 1) if n > 1 else F.lit(""))
@@ -163,21 +167,20 @@ def kneser_ney(top: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class Arrays:
-    """One order's n-grams: sorted hashes, log p (nan if only a context), log weight, and where each leading-bits bucket starts."""
+    """One order's n-grams: sorted hashes, a number of each, and where each leading-bits bucket starts."""
 
     keys: np.ndarray
-    logp: np.ndarray
-    logg: np.ndarray
+    values: np.ndarray
     starts: np.ndarray
     shift: int
 
     @classmethod
-    def of(cls, keys: np.ndarray, logp: np.ndarray, logg: np.ndarray) -> Arrays:
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Arrays:
         o = np.argsort(keys)
         keys = keys[o]
         bits = max(1, min(22, int(len(keys)).bit_length() + 1))
         starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-        return cls(keys, logp[o], logg[o], starts, 64 - bits)
+        return cls(keys, values[o], starts, 64 - bits)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, or -1."""
@@ -194,51 +197,84 @@ class Arrays:
         return np.where(self.keys[at] == h, at, -1)
 
 
-def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, size, gram, p, g) to (size, key, logp, logg)."""
-    for batch in batches:
-        lang, size = batch.column(0).dictionary_encode(), np.asarray(batch.column(1)).astype(np.int64)
-        seeds = np.array([seed_of(x) for x in lang.dictionary.to_pylist()], np.uint64)[np.asarray(lang.indices)]
-        chars = np.frombuffer("".join(batch.column(2).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(size)
-        keys = np.empty(len(size), np.uint64)
-        for n in np.unique(size).tolist():
-            own = size == n
-            keys[own] = gram_hash(chars, ends[own] - 1, n, seeds[own])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = [np.log(np.asarray(batch.column(k).fill_null(np.nan))).astype(np.float32) for k in (3, 4)]
-        yield pa.record_batch([batch.column(1), pa.array(keys.view(np.int64)), *map(pa.array, logs)], ["size", "key", "logp", "logg"])
-
-
-def load_arrays(model: DataFrame, order: int = ORDER) -> list[Arrays]:
-    """The model's arrays by order, hashed on the executors and gathered on the driver to be broadcast; bounded by MODEL_BYTES."""
-    got = model.select("lang", "size", "gram", "p", "g").mapInArrow(_hasher, "size int, key bigint, logp float, logg float").toArrow()
-    size = np.asarray(got["size"])
-    key, logp, logg = np.asarray(got["key"]).view(np.uint64), np.asarray(got["logp"]), np.asarray(got["logg"])
+@dataclass
+class Shard:
+    """By order the log p of n-grams, and the log weights of contexts."""
+
+    p: list[Arrays]
+    g: list[Arrays]
+
+
+_HASHED = "shard int, context boolean, size int, key bigint, value float"
+
+
+def _hasher(order: int, shards: int):
+    """Rows (lang, size, gram, p, g) to entries (see _HASHED): an n-gram is in the
+    shard of its last character but one, a context in that of its last; shorter ones are in all (-1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, size = batch.column(0).dictionary_encode(), np.asarray(batch.column(1)).astype(np.int64)
+            seeds = np.array([seed_of(x) for x in lang.dictionary.to_pylist()], np.uint64)[np.asarray(lang.indices)]
+            chars = np.frombuffer("".join(batch.column(2).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ends = np.cumsum(size)
+            keys = np.empty(len(size), np.uint64)
+            for n in np.unique(size).tolist():
+                own = size == n
+                keys[own] = gram_hash(chars, ends[own] - 1, n, seeds[own])
+            for context, column in ((False, 3), (True, 4)):
+                values = np.asarray(batch.column(column).fill_null(np.nan))
+                least = 1 if context else 2  # characters that tell the shard
+                own = np.flatnonzero(size < order if context else ~np.isnan(values))
+                shard = np.full(len(own), -1, np.int32)
+                long = size[own] >= least
+                at = own[long]
+                shard[long] = cell(chars, ends[at] - least, seeds[at], shards)
+                with np.errstate(divide="ignore"):
+                    logs = np.log(values[own]).astype(np.float32)
+                yield pa.record_batch([pa.array(shard), pa.array(np.full(len(own), context)), pa.array(size[own].astype(np.int32)), pa.array(keys[own].view(np.int64)), pa.array(logs)], [c.split()[0] for c in _HASHED.split(", ")])
+
+    return run
+
+
+def cell(chars: np.ndarray, place: np.ndarray, seeds: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of texts whose last character but one stands at a place."""
+    return (gram_hash(chars, place, 1, seeds) % np.uint64(shards)).astype(np.int32)
+
+
+def hashed(model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """(entries, shards): the model hashed on the executors, and into how many shards."""
+    shards = 1 + 2 * _ENTRY * model.count() // shard_bytes
+    return materialize(model.select("lang", "size", "gram", "p", "g").mapInArrow(_hasher(order, shards), _HASHED)), shards
+
+
+def load_shard(entries: DataFrame, k: int, order: int = ORDER) -> Shard:
+    """A shard's arrays, gathered on the driver to be broadcast; its size is bounded by SHARD_BYTES, about."""
+    got = entries.where(F.col("shard").isin(-1, k)).toArrow()
+    size, context = np.asarray(got["size"]), np.asarray(got["context"])
+    key, value = np.asarray(got["key"]).view(np.uint64), np.asarray(got["value"])
     del got
-    return [Arrays.of(key[own], logp[own], logg[own]) for own in (size == n for n in range(order + 1))]
+    part = lambda which, n: Arrays.of(key[own], value[own]) if (own := (size == n) & (context == which)).any() else Arrays.of(key[:0], value[:0])
+    return Shard([part(False, n) for n in range(order + 1)], [part(True, n) for n in range(order)])
 
 
-def log_probabilities(arrays: list[Arrays], chars: np.ndarray, place: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
+def log_probabilities(shard: Shard, chars: np.ndarray, place: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
     """log p of the character at each place, backing off where an n-gram is unknown."""
     out = np.zeros(len(place))
     todo = np.arange(len(place))
     for n in range(order, -1, -1):
-        t = arrays[n]
-        at = t.find(gram_hash(chars, place[todo], n, seeds[todo]))
+        at = shard.p[n].find(gram_hash(chars, place[todo], n, seeds[todo]))
         hit = at >= 0
-        if n:
-            hit[hit] = ~np.isnan(t.logp[at[hit]])
-        out[todo[hit]] += t.logp[at[hit]]
+        out[todo[hit]] += shard.p[n].values[at[hit]]
         todo = todo[~hit]
         if not len(todo):
             break
         if n == 0:
             out[todo] += np.log(1e-7)  # a language that the model lacks
             break
-        lower = arrays[n - 1].find(gram_hash(chars, place[todo] - 1, n - 1, seeds[todo]))
+        lower = shard.g[n - 1].find(gram_hash(chars, place[todo] - 1, n - 1, seeds[todo]))
         known = lower >= 0
-        out[todo[known]] += arrays[n - 1].logg[lower[known]]
+        out[todo[known]] += shard.g[n - 1].values[lower[known]]
     return out
 
 
@@ -256,99 +292,63 @@ def _runs(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _scorer(shared, order: int, cache: float):
+_SUMS = "doc_id bigint, lang string, h bigint, once bigint, n bigint, t double, l1 double, l2 double"
+
+
+def _scorer(shared, k: int, shards: int, order: int, cache: float):
+    """Rows (doc_id, lang, h, text) to a shard's part of their sums (see _SUMS)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = shared.value
+        shard = shared.value
         seeds: dict[str, np.uint64] = {}
         for batch in batches:
             lang = batch.column(1).to_pylist()
-            buf, offs = text_buffers(batch.column(2), lower=False)
+            buf, offs = text_buffers(batch.column(3), lower=False)
             for i, j, part, at in slices(buf, offs, _COUNT_BYTES):
                 chars, place, ends = _characters(part, at, order)
                 for x in set(lang[i:j]) - seeds.keys():
                     seeds[x] = seed_of(x)
-                own = np.repeat(np.array([seeds[x] for x in lang[i:j]], np.uint64), np.diff(ends))
                 n = np.diff(ends)
+                own = np.repeat(np.array([seeds[x] for x in lang[i:j]], np.uint64), n)
                 row = np.repeat(np.arange(j - i), n)
+                if shards > 1:
+                    here = cell(chars, place - 1, own, shards) == k
+                    place, own, row = place[here], own[here], row[here]
                 at, times = _runs(gram_hash(chars, place, order, np.uint64(0)), row)
-                lp = log_probabilities(arrays, chars, place[at], own[at], order)
-                total, square = (np.bincount(row[at], times * v, j - i) for v in (lp, lp * lp))
-                square -= total * total / np.maximum(n, 1)
+                lp = log_probabilities(shard, chars, place[at], own[at], order)
+                l1, l2 = (np.bincount(row[at], times * v, j - i) for v in (lp, lp * lp))
+                t = l1
                 if cache:
                     a = cache * np.exp(lp)
-                    total = np.bincount(row[at], _lgamma(a + times, np.log) - _lgamma(a, np.log), j - i)
+                    t = np.bincount(row[at], _lgamma(a + times, np.log) - _lgamma(a, np.log), j - i)
                     at, times = _runs(gram_hash(chars, place - 1, order - 1, np.uint64(0)), row)
-                    total -= np.bincount(row[at], _lgamma(cache + times, np.log) - _lgamma(np.array(cache), np.log), j - i)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(lang[i:j], pa.string()), pa.array(n.astype(np.int64)), pa.array(total), pa.array(square)], ["doc_id", "lang", "n_chars", "log_p", "squares"])
+                    t = t - np.bincount(row[at], _lgamma(cache + times, np.log) - _lgamma(np.array(cache), np.log), j - i)
+                first = np.full(j - i, int(k == 0))
+                columns = [*(batch.column(c).slice(i, j - i) for c in range(3)), *map(pa.array, (first, n * first, t, l1, l2))]
+                yield pa.record_batch(columns, [c.split()[0] for c in _SUMS.split(", ")])
 
     return run
 
 
-def score_arrays(docs: DataFrame, arrays: list[Arrays], order: int = ORDER, cache: float = 0.0) -> DataFrame:
-    """(doc_id, lang, n_chars, log_p, squares) of each row; squares: the sum of
-    squares of the model's log p about the row's mean. cache: the model's weight against what the
-    row repeats of itself; 0 is the model alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
-    x = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return x.mapInArrow(_scorer(shared, order, cache), "doc_id bigint, lang string, n_chars bigint, log_p double, squares double")
-
-
-def _row_counter(order: int):
-    """Rows (row, doc_id, lang, text) to (row, doc_id, lang, gram, n) for each of a row's n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(order)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                key = [one.column(i)[0].as_py() for i in (0, 1)]
-                for part in count([pa.record_batch([one.column(2), one.column(3)], ["lang", "text"])]):
-                    m = part.num_rows
-                    yield pa.record_batch([pa.array([key[0]] * m, pa.int64()), pa.array([key[1]] * m, pa.int64()), part.column(0), part.column(1), part.column(2)], ["row", "doc_id", "lang", "gram", "n"])
-                if not one.column(3)[0].as_py():
-                    yield pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int64()), one.column(2), pa.array([None], pa.string()), pa.array([0], pa.int64())], ["row", "doc_id", "lang", "gram", "n"])
-
-    return run
-
-
-def _backed_off(grams: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, l) of distinct (lang, gram): log_probabilities by joins."""
-    rest, found = grams.select("lang", "gram", F.col("gram").alias("left"), F.lit(0.0).alias("l")), []
-    for n in range(order, -1, -1):
-        here = model.where(F.col("size") == n).select("lang", F.col("gram").alias("left"), "p").where("p is not null")
-        x = rest.join(here, ["lang", "left"], "left")
-        if n == 0:
-            found.append(x.select("lang", "gram", (F.col("l") + F.coalesce(F.ln("p"), F.lit(float(np.log(1e-7))))).alias("l")))
-            break
-        x = materialize(x)
-        found.append(x.where("p is not null").select("lang", "gram", (F.col("l") + F.ln("p")).alias("l")))
-        lower = model.where(F.col("size") == n - 1).select("lang", F.col("gram").alias("context"), "g")
-        x = x.where("p is null").withColumn("context", F.substring("left", 1, n - 1) if n > 1 else F.lit("")).join(lower, ["lang", "context"], "left")
-        rest = materialize(x.select("lang", "gram", (F.substring("left", 2, n - 1) if n > 1 else F.lit("")).alias("left"), (F.col("l") + F.coalesce(F.ln("g"), F.lit(0.0))).alias("l")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
-
-
-def score_join(docs: DataFrame, model: DataFrame, order: int = ORDER, cache: float = 0.0) -> DataFrame:
-    """What score_arrays gives, for a model too large to broadcast: the documents'
-    n-grams meet the model's in joins."""
-    x = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    x = materialize(x.mapInArrow(_row_counter(order), "row bigint, doc_id bigint, lang string, gram string, n bigint"))
-    m = materialize(_backed_off(x.where("gram is not null").select("lang", "gram").distinct(), model, order))
-    key = ["row", "doc_id", "lang"]
-    x = x.groupBy(*key, "gram").agg(F.sum("n").alias("n"))  # a long row is counted in slices
-    y = x.join(m, ["lang", "gram"], "left").withColumn("t", F.col("n") * F.col("l"))
-    y = y.withColumn("l1", F.col("t")).withColumn("l2", F.col("t") * F.col("l"))
-    sums = [F.sum(c).alias(c) for c in ("n", "l1", "l2", "t")]
-    if cache:
-        a = F.col("a")
-        y = y.withColumn("a", cache * F.exp("l")).withColumn("t", _lgamma(a + F.col("n"), F.ln) - _lgamma(a, F.ln))
-        y = y.groupBy(*key, F.substring("gram", 1, order - 1).alias("context")).agg(*sums)
-        y = y.withColumn("t", F.col("t") - _lgamma(cache + F.col("n"), F.ln) + float(_lgamma(np.array(cache), np.log)))
-    got = y.groupBy(*key).agg(*sums).select("doc_id", "lang", F.col("n").alias("n_chars"), F.col("t").alias("log_p"), (F.col("l2") - F.try_divide(F.col("l1") * F.col("l1"), F.col("n"))).alias("squares"))
-    return got.fillna(0.0, ["log_p", "squares"])
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, cache: float = 0.0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, lang, n_chars, log_p, squares) of each row of docs (doc_id, lang,
+    text); squares: the sum of squares of the model's log p about the row's mean.
+    cache: the model's weight against what the row repeats of itself; 0 is the model
+    alone. model is materialised. Each shard is a pass over docs; rows that repeat
+    doc_id, lang and text are told apart by their number only. A null language is the
+    language '', a null or empty text has no characters and sums of 0."""
+    entries, shards = hashed(model, order, shard_bytes)
+    x = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"), "text")
+    sums = None
+    for k in range(shards):
+        shared = docs.sparkSession.sparkContext.broadcast(load_shard(entries, k, order))
+        part = materialize(x.mapInArrow(_scorer(shared, k, shards, order, cache), _SUMS))
+        shared.destroy()
+        sums = part if sums is None else sums.union(part)
+    y = sums.groupBy("doc_id", "lang", "h").agg(*(F.sum(c).alias(c) for c in ("once", "n", "t", "l1", "l2")))
+    per = lambda c: F.col(c) / F.col("once")
+    y = y.select("doc_id", "lang", "once", per("n").cast("bigint").alias("n_chars"), per("t").alias("log_p"), (per("l2") - F.coalesce(F.try_divide(per("l1") * per("l1"), per("n")), F.lit(0.0))).alias("squares"))
+    return y.withColumn("once", F.explode(F.sequence(F.lit(1), "once"))).drop("once")
 
 
 def judge(scores: DataFrame, width: float = WIDTH, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -363,10 +363,10 @@ def judge(scores: DataFrame, width: float = WIDTH, least_chars: int = LEAST_CHAR
     of_long = lambda c: F.when(F.col("n_chars") >= least_chars, c)
     median = lambda c: F.percentile_approx(c, 0.5, 10000)
     mid = x.groupBy("lang").agg(F.coalesce(median(of_long(F.col("h"))), median(F.col("h"))).alias("mid"), F.coalesce(median(of_long(F.col("n_chars"))), F.lit(least_chars)).alias("usual"), F.avg("v").alias("tau"))
-    off = x.join(F.broadcast(mid), "lang").withColumn("off", F.abs(F.col("h") - F.col("mid")))  # a row for each language
+    off = x.join(sized_broadcast(materialize(mid)), "lang").withColumn("off", F.abs(F.col("h") - F.col("mid")))
     short = F.when(F.col("n_chars") < least_chars, F.col("off") * F.sqrt("n_chars"))
     spread = off.groupBy("lang").agg(F.coalesce(F.pow(1.4826 * median(of_long(F.col("off"))), 2), F.lit(0.0)).alias("var"), F.coalesce(F.pow(1.4826 * median(short), 2), F.lit(0.0)).alias("rate"))
-    y = off.join(F.broadcast(spread), "lang")
+    y = off.join(sized_broadcast(materialize(spread)), "lang")
     rate = F.greatest("rate", F.col("var") * F.col("usual"))
     more = rate * F.greatest(F.lit(0.0), F.try_divide(F.lit(1.0), F.col("n_chars")) - 1 / F.col("usual"))
     y = y.withColumn("half", width * F.sqrt(F.greatest(F.col("var") + more, F.try_divide("tau", "n_chars"))))
@@ -381,7 +381,7 @@ def _halves(docs: DataFrame) -> DataFrame:
     return x.withColumn("own", key(F.col("half"))).withColumn("other", key(1 - F.col("half")))
 
 
-def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH, cache: float = CACHE, **bands) -> DataFrame:
+def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH, cache: float = CACHE, shard_bytes: int = SHARD_BYTES, **bands) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, lower, upper, keep): each document's
     perplexity per character under the model of its language's other half and
     the cache, the band it's held to, and whether it stays.
@@ -394,11 +394,7 @@ def perplexity_bands(docs: DataFrame, order: int = ORDER, width: float = WIDTH,
     docs = _halves(pick(docs, "doc_id", "lang", "text"))
     top = materialize(top_counts(docs.select(F.col("own").alias("lang"), "text"), order))
     model = materialize(kneser_ney(top, order))
-    known = model.where("size = 0").select(F.col("lang").alias("other"), F.lit(True).alias("known"))  # two rows for each language
-    docs = docs.join(F.broadcast(known), "other", "left").select("doc_id", F.when(F.col("known"), F.col("other")).otherwise(F.col("own")).alias("lang"), "text")
-    if model.count() * 16 <= MODEL_BYTES:
-        scores = score_arrays(docs, load_arrays(model, order), order, cache)
-    else:
-        scores = score_join(docs, model, order, cache)
-    scores = scores.withColumn("lang", F.regexp_replace("lang", "\x1f[01]$", ""))
+    known = materialize(model.where("size = 0").select(F.col("lang").alias("other"), F.lit(True).alias("known")))
+    docs = docs.join(sized_broadcast(known), "other", "left").select("doc_id", F.when(F.col("known"), F.col("other")).otherwise(F.col("own")).alias("lang"), "text")
+    scores = score(docs, model, order, cache, shard_bytes).withColumn("lang", F.regexp_replace("lang", "\x1f[01]$", ""))
     return judge(materialize(scores), width, **bands)

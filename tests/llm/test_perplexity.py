@@ -59,8 +59,9 @@ def test_model_is_kneser_ney(spark):
     docs = table(spark, *enumerate(rows))
     model = P.materialize(P.kneser_ney(P.top_counts(docs)))
     want = brute(rows)
-    for scores in (P.score_arrays(docs, P.load_arrays(model)), P.score_join(docs, model)):
-        got = {r.doc_id: r for r in scores.collect()}
+    for size in (P.SHARD_BYTES, 20_000):  # one shard, and several
+        assert (P.hashed(model, shard_bytes=size)[1] > 1) == (size == 20_000)
+        got = {r.doc_id: r for r in P.score(docs, model, shard_bytes=size).collect()}
         assert np.allclose([got[i].log_p for i in range(len(rows))], want, rtol=1e-5)
         assert [got[i].n_chars for i in range(len(rows))] == [len(t) for t in rows]
 
@@ -94,27 +95,29 @@ def test_urn_of_model_and_earlier_text(spark):
     """Both ways of scoring texts that the model wasn't counted on, against the definition one character at a time."""
     docs, new = table(spark, *enumerate(prose(i, 30) for i in range(10))), [prose(50, 20), "amet amet amet amet", "Zé amet€", ""]
     model = P.materialize(P.kneser_ney(P.top_counts(docs)))
-    arrays = P.load_arrays(model)
+    shard = P.load_shard(P.hashed(model)[0], 0)
     seed, a, want = P.seed_of("en"), P.CACHE, []
     for t in new:
         s, total, seen, after = [ord(c) for c in P.BOS * (P.ORDER - 1) + t], 0.0, Counter(), Counter()
         for i in range(P.ORDER - 1, len(s)):
             gram = tuple(s[i - P.ORDER + 1 : i + 1])
-            p = math.exp(P.log_probabilities(arrays, np.array(s, np.uint32), np.array([i]), np.array([seed]), P.ORDER)[0])
+            p = math.exp(P.log_probabilities(shard, np.array(s, np.uint32), np.array([i]), np.array([seed]), P.ORDER)[0])
             total += math.log((seen[gram] + a * p) / (after[gram[:-1]] + a))
             seen[gram] += 1
             after[gram[:-1]] += 1
         want.append(total)
     x = table(spark, *enumerate(new))
-    by_array = {r.doc_id: r for r in P.score_arrays(x, arrays, cache=a).collect()}
-    by_join = {r.doc_id: r for r in P.score_join(x, model, cache=a).collect()}
-    for got in (by_array, by_join):
+    one, several = ({r.doc_id: r for r in P.score(x, model, cache=a, shard_bytes=n).collect()} for n in (P.SHARD_BYTES, 20_000))
+    for got in (one, several):
         assert np.allclose([got[i].log_p for i in range(len(new))], want, rtol=1e-5)
-    assert np.allclose([by_array[i].squares for i in range(len(new))], [by_join[i].squares for i in range(len(new))], rtol=1e-4, atol=1e-6)
+    assert np.allclose([one[i].squares for i in range(len(new))], [several[i].squares for i in range(len(new))], rtol=1e-4, atol=1e-6)
 
 
 def test_odd_rows(spark):
     rows = P.perplexity_bands(odd(spark)).collect()
+    again = P.perplexity_bands(odd(spark), shard_bytes=100_000).collect()
+    plain = lambda x: sorted((str(r.doc_id), r.lang, r.n_chars, r.keep, round(r.perplexity or 0, 6)) for r in x)
+    assert plain(rows) == plain(again)
     assert len(rows) == len(ROWS)
     assert all(r.keep and r.perplexity is None for r in rows if not r.n_chars) and sum(not r.n_chars for r in rows) == 3
     assert {r.lang for r in rows} == {"en", "fr", "", "xx"}
