@@ -29,6 +29,8 @@ from .common import pick
 
 #: Labelled pages that the tables are counted on, at most about so many, by a hash of page_id; smoothing; the least marginal of kept text; text handled at once.
 FIT_PAGES, SMOOTH, LEAST, BATCH_CHARS = 5000, 0.5, 0.5, 4 << 20
+#: Elements nested deeper stand in the one at this depth, as browsers have it; their text isn't lost.
+MAX_DEPTH = 512
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "template")}
@@ -62,18 +64,21 @@ class Tree:
     gap: list[bool]
     hint: list[int]
     marked: list[bool]
+    depth: list[int]
 
 
 def parse(page: str | None) -> Tree:
     """The tree of a page, of unclosed and misnested tags as browsers nearly do.
     Raw text elements and comments have no text nodes."""
-    t = Tree([-1], [_TAG["html"]], [""], [True], [0], [False])
+    t = Tree([-1], [_TAG["html"]], [""], [True], [0], [False], [0])
     stack: list[tuple[int, str]] = [(0, "html")]
+    open_: dict[str, list[int]] = {}  # where each name stands in the stack
     gap, at, page = True, 0, page or ""
 
     def add(tag: int, text: str, hint: int, mark: bool) -> int:
-        p = stack[-1][0]
+        p = stack[min(len(stack), MAX_DEPTH) - 1][0]
         t.parent.append(p)
+        t.depth.append(t.depth[p] + 1)
         t.tag.append(tag)
         t.text.append(text)
         t.gap.append(gap)
@@ -82,12 +87,13 @@ def parse(page: str | None) -> Tree:
         return len(t.parent) - 1
 
     def close(name: str, within: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][1] == name:
-                del stack[k:]
-                return
-            if stack[k][1] in within:
-                return
+        """Closes the innermost element of a name and what it holds, unless one of `within` is nearer."""
+        at = open_.get(name)
+        if at and not any(open_.get(w) and open_[w][-1] > at[-1] for w in within):
+            k = at[-1]
+            for _, closed in stack[k:]:
+                open_[closed].pop()
+            del stack[k:]
 
     def words(piece: str) -> None:
         nonlocal gap
@@ -131,22 +137,11 @@ def parse(page: str | None) -> Tree:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else size
         elif name not in _VOID and not m[3].endswith("/"):
+            open_.setdefault(name, []).append(len(stack))
             stack.append((node, name))
     return t
 
 
-def _levels(parent: np.ndarray) -> np.ndarray:
-    """The depth of each node; parents come before their children."""
-    depth = np.zeros(len(parent), np.int64)
-    todo = parent >= 0
-    up = parent.copy()
-    while todo.any():
-        depth[todo] += 1
-        up[todo] = parent[up[todo]]
-        todo &= up >= 0
-    return depth
-
-
 @dataclass
 class Forest:
     """The trees of a batch as arrays; first[k] is the root of page k."""
@@ -167,7 +162,7 @@ def forest(trees: list[Tree]) -> Forest:
     texts = flat("text")
     chars = np.array(list(map(len, texts)), np.int64)
     ends = np.array([0 if not x else 1 if x.rstrip()[-1:] in ".!?:;。…\"”»" else 2 if any(c in x for c in ".,;") else 3 for x in texts], np.int64)
-    depth = _levels(parent)
+    depth = np.array(flat("depth"), np.int64)
     order = np.argsort(-depth, kind="stable")
     cuts = np.searchsorted(-depth[order], np.arange(-depth.max(initial=0), 2))
     link = np.zeros(len(parent), bool)

@@ -71,3 +71,37 @@ def test_odd_rows(spark):
     first = next(r for r in got if r.page_id == 1)
     assert (first.text, first.n_nodes, first.n_text, first.confidence) == ("", 1, 0, 1.0)
     assert H.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page_ in ("<div>" * 20_000 + "x</b>" * 20_000, "<div>" * 400_000 + "deep", "<p>" * 100_000 + "</div>" * 100_000 + "end"):
+        t = H.parse(page_)
+        H.marginals(H.forest([t]), H.Model.of(np.ones(H.SLOTS)))
+        assert max(t.depth) <= H.MAX_DEPTH
+        assert "".join(t.text) == "".join(page_.replace("</", "<").split("<div>")).replace("<b>", "").replace("<p>", "")
+    assert time.time() - began < 30
+
+
+def test_held_out_by_hash(spark):
+    """Fitted on some of the pages of a folder, held against what the others mark."""
+    from pathlib import Path
+
+    import pytest
+
+    if not Path("/root/testdata/sf0.01/pages.parquet").exists():
+        pytest.skip("no tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    half = "pmod(xxhash64(page_id), 2) = {}"
+    model = H.fit(H.self_labelled(pages.where(half.format(0))))
+    right = all_ = 0
+    for r in pages.where(half.format(1)).collect():
+        t = H.parse(r.html)
+        p = H.marginals(H.forest([t]), model)
+        for k, x in enumerate(t.text):
+            if x and any(t.marked):
+                all_ += len(x)
+                right += len(x) * ((p[k] >= H.LEAST) == t.marked[k])
+    assert right > 0.97 * all_ > 0
