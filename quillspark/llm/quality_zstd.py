@@ -8,8 +8,9 @@ logistic curve over it and the text's weight, bytes / (bytes + PRIOR), makes it
 probability that the text is good: what is too short to tell isn't taken for bad.
 The curve is fitted for each language on labelled texts that no dictionary has seen.
 
-Only fitting is bounded: about `per_class` labelled texts of each language and
-class, by a hash of doc_id, half of them for the dictionaries.
+Only fitting is bounded: about `per_class` labelled texts of each class in each of the
+`LANGUAGES` that have most, by a hash of doc_id, half of them for the dictionaries; the
+other languages' are fitted on as one. Texts of more than `FIT_CHARS` are left out of it.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+from pyspark.sql import types as T
 
 from .common import bounded_sample, materialize, pick, sized_broadcast
 
-PER_CLASS, DICT_BYTES, BLOCK, LEVEL, PRIOR = 2000, 64 << 10, 1024, 3, 100
+PER_CLASS, LANGUAGES, FIT_CHARS, DICT_BYTES, BLOCK, LEVEL, PRIOR = 2000, 64, 1 << 18, 64 << 10, 1024, 3, 100
 #: A text is rejected below this probability of being good.
 LEAST = 0.3
 ANY = ""
@@ -117,11 +118,16 @@ def fit_rows(rows: list[tuple[str | None, int, str]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model from the labelled texts of docs. Labels with a null doc_id or
-    quality, and labelled documents without text, are left out."""
+    quality, and labelled documents without text, are left out; so are texts of more
+    than FIT_CHARS. A doc_id labelled both good and bad counts as bad."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = pick(docs, "doc_id", "lang").where("doc_id is not null").join(chosen, "doc_id")
-    ids = materialize(bounded_sample(ids, ["lang", "quality"], per_class, F.col("doc_id")).select("doc_id", "quality"))
-    texts = pick(docs, "doc_id", "lang", "text").join(sized_broadcast(ids), "doc_id").where("text is not null and text <> ''")
+    size = F.length("text")
+    ids = docs.where((size > 0) & (size <= FIT_CHARS)).select("doc_id", "lang").where("doc_id is not null").join(chosen, "doc_id")
+    ids = materialize(ids)
+    most = materialize(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("known")))
+    ids = ids.join(sized_broadcast(most), F.col("lang").eqNullSafe(F.col("known")), "left").withColumn("kind", F.coalesce("known", F.lit(ANY)))
+    ids = materialize(bounded_sample(ids, ["kind", "quality"], per_class, F.col("doc_id")).select("doc_id", "quality").distinct())
+    texts = pick(docs, "doc_id", "lang", "text").join(sized_broadcast(ids), "doc_id").where((size > 0) & (size <= FIT_CHARS))
     rows = sorted({(r.doc_id, r.lang, r.quality, r.text) for r in texts.collect()}, key=lambda r: (hash_order(r[0]), r[3]))
     return fit_rows([r[1:] for r in rows])
 
@@ -135,16 +141,18 @@ def hash_order(doc_id: int) -> str:
 def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """docs with (difference, p_good, keep). A null or empty text has difference 0
     and stays; so does every text if the model has no dictionaries. A null or
-    unknown language takes the model of all languages. Columns of these names are
-    replaced, others left as they are."""
+    unknown language takes the model of all languages. Repeated rows repeat, an empty
+    table gives none. Columns of these names are replaced, others left as they are,
+    whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: dict[str, tuple] = {}
+    kind = T.StructType([T.StructField("difference", T.DoubleType()), T.StructField("p_good", T.DoubleType())])
 
-    @F.pandas_udf("difference double, p_good double", PandasUDFType.SCALAR)
-    def judge(text, lang):
+    @F.arrow_udf(kind)
+    def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
         m = shared.value
         diff, prob = [], []
-        for t, x in zip(text, lang):
+        for t, x in zip(text.to_pylist(), lang.to_pylist()):
             key = m.language(x)
             if not t or key is None:
                 diff.append(0.0)
@@ -155,12 +163,12 @@ def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
             d, weight = difference(t, *made[key])
             slope, grown, offset = m.curves[key]
             diff.append(d)
-            prob.append(1 / (1 + np.exp(-np.clip(slope * d + grown * weight + offset, -30, 30))))
-        return pd.DataFrame({"difference": diff, "p_good": prob})
+            prob.append(float(1 / (1 + np.exp(-np.clip(slope * d + grown * weight + offset, -30, 30)))))
+        return pa.StructArray.from_arrays([pa.array(diff, pa.float64()), pa.array(prob, pa.float64())], ["difference", "p_good"])
 
-    names = [c for c in docs.columns if c not in ("difference", "p_good", "keep")]
-    x = docs.select(*names, judge("text", "lang").alias("__q"))
-    return x.select(*names, "__q.difference", "__q.p_good", (F.col("__q.p_good") >= least).alias("keep"))
+    names = [c for c in docs.columns if c.lower() not in ("difference", "p_good", "keep")]
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), judge(F.col("text"), F.col("lang")).alias("q"))
+    return x.select("row.*", "q.difference", "q.p_good", (F.col("q.p_good") >= least).alias("keep"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least: float = LEAST) -> DataFrame:

@@ -65,3 +65,63 @@ def test_sample_is_bounded(spark):
     n = {r.k: r["count"] for r in bounded_sample(x, ["k"], 500, F.col("id")).groupBy("k").count().collect()}
     assert 400 < n["a"] < 600 and 400 < n[None] < 600
     assert bounded_sample(x, ["k"], 20_000, F.col("id")).count() == 10_000
+
+
+def test_any_column_names(spark):
+    m = Z.fit_rows([("en", q, t) for _, t, q in sample(0, 60)])
+    docs = table(spark, (1, prose(1, 60)), (2, bad(2, 60))).selectExpr("*", "7 as __q", "8 as q", "9 as row", "1 as `x.y`", "'z' as Keep")
+    got = {r.doc_id: r for r in Z.score(docs, m).collect()}
+    assert [got[1]["__q"], got[1]["q"], got[1]["row"], got[1]["x.y"]] == [7, 8, 9, 1] and got[1].keep and not got[2].keep
+
+
+def test_many_languages_and_long_texts(spark):
+    """A column of languages that holds anything bounds the fit all the same; what isn't a usual language is fitted on as one."""
+    rows = [(i, t, f"x{i}") for i, t, _ in sample(0, 240)] + [(900, "WORD!! " * 60_000, "en")]
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in sample(0, 240)] + [(900, 1, 0)], "doc_id bigint, quality int, toxic int")
+    m = Z.fit(table(spark, *rows), labels)
+    assert list(m.dictionaries) == [Z.ANY]
+    good, junk = Z.difference(prose(5, 80), *map(Z.compressor, m.dictionaries[""])), Z.difference(bad(5, 80), *map(Z.compressor, m.dictionaries[""]))
+    assert good > junk
+
+
+def test_whole_query_by_the_definition(spark):
+    """classify() against labels, fit and scores worked out one text at a time."""
+    import math
+
+    import zstandard
+
+    rows = sample(0, 120)
+    docs = table(spark, *((i, t, "en") for i, t, _ in rows))
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i % 2], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in Z.classify(docs, labels).collect()}
+    known = sorted(((i, t, q) for i, t, q in rows if i % 2), key=lambda r: Z.hash_order(r[0]))
+    sides = [[t for _, t, q in known if q == k] for k in (1, 0)]
+
+    def trained(texts):
+        parts = [t.encode()[i : i + Z.BLOCK] for t in texts for i in range(0, len(t.encode()), Z.BLOCK)]
+        try:
+            d = zstandard.train_dictionary(min(Z.DICT_BYTES, sum(map(len, parts)) // 4), parts, level=Z.LEVEL)
+            return zstandard.ZstdCompressionDict(d.as_bytes())
+        except zstandard.ZstdError:
+            return zstandard.ZstdCompressionDict(Z.dictionary(texts))
+
+    dicts = [trained(s[::2]) for s in sides]
+
+    def size(t, d):
+        c = zstandard.ZstdCompressor(level=Z.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        b = t.encode()
+        return sum(len(c.compress(b[i : i + Z.BLOCK])) for i in range(0, len(b), Z.BLOCK))
+
+    def of(t):
+        n = len(t.encode()) + Z.PRIOR
+        return (size(t, dicts[1]) - size(t, dicts[0])) / n, len(t.encode()) / n
+
+    x = [of(t) for s in sides for t in s[1::2]]
+    y = [1] * len(sides[0][1::2]) + [0] * len(sides[1][1::2])
+    import numpy as np
+
+    a, b, c = Z.logistic(np.array(x), np.array(y, float))
+    for i, t, _ in rows:
+        d, w = of(t)
+        p = 1 / (1 + math.exp(-max(-30, min(30, a * d + b * w + c))))
+        assert abs(got[i].difference - d) < 0.02 and abs(got[i].p_good - p) < 0.05 and got[i].keep == (got[i].p_good >= Z.LEAST)
