@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, pick
 
@@ -76,17 +78,19 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, document, position: all but each hash's first."""
+    """Of rows sorted by hash, document, position: all but each hash's first. Rows that repeat the first are the first."""
     last = first = None
     for batch in batches:
-        h, ids, digest, line = (batch.column(i).to_pylist() for i in range(4))
-        drop = []
-        for k in range(len(h)):
-            if h[k] != last:
-                last, first = h[k], (ids[k], digest[k], line[k])
-            elif (ids[k], digest[k], line[k]) != first:
-                drop.append(k)
-        yield batch.take(pa.array(drop, pa.int64())).select([1, 2, 3])
+        if not batch.num_rows:
+            continue
+        h = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+        known = np.asarray(batch.column(1).is_valid())
+        at = np.stack([known, *(np.asarray(pc.fill_null(batch.column(c), 0)).astype(np.int64) for c in (1, 2, 3))], 1)
+        new = np.r_[last is None or h[0] != last, h[1:] != h[:-1]]
+        group = np.cumsum(new)
+        heads = np.concatenate([at[:1] if first is None else first[None], at[new]])[group]
+        yield batch.take(pa.array(np.flatnonzero((at != heads).any(1)))).select([1, 2, 3])
+        last, first = h[-1], heads[-1]
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,27 +127,25 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the lines that bitmaps keep; a document whose lines all go has an empty text, a null text stays null."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def cut(text, keep):
-        import pandas as pd
+    """docs with the lines that bitmaps keep; a document whose lines all go has an
+    empty text, a null text stays null, and so does a row that no bitmap is of. Rows
+    that repeat are cut alike; other columns are kept whatever their names."""
 
+    @F.arrow_udf(T.StringType())
+    def cut(text: pa.Array, keep: pa.Array) -> pa.Array:
         out = []
-        for t, k in zip(text, keep):
-            if t is None or not t or k is None:
-                out.append(t)
-            else:
+        for t, k in zip(text.to_pylist(), keep.to_pylist()):
+            if t and k is not None:
                 lines = t.split("\n")
-                out.append("\n".join(x for x, y in zip(lines, unpack(bytes(k), len(lines))) if y))
-        return pd.Series(out, dtype=object)
-
-    @pandas_udf("bigint")
-    def digest(text):
-        return text.map(lambda t: _digest(t or ""))
-
-    b = bitmaps.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g"), F.col("keep").alias("__k"))
-    x = docs.withColumn("__t", digest("text"))
-    x = x.join(b, x.doc_id.eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__g")), "left")
-    return x.withColumn("text", cut("text", "__k")).select(*docs.columns)
+                t = "\n".join(x for x, y in zip(lines, unpack(k, len(lines))) if y)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    @F.arrow_udf(T.LongType())
+    def digest(text: pa.Array) -> pa.Array:
+        return pa.array([_digest(t or "") for t in text.to_pylist()], pa.int64())
+
+    b = bitmaps.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("keep").alias("k"))
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest(F.col("text")).alias("t"))
+    x = x.join(b, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("g")), "left")
+    return x.withColumn("row", F.col("row").withField("text", cut(F.col("row.text"), F.col("k")))).select("row.*")

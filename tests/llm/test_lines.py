@@ -51,3 +51,6 @@ def test_apply_and_odd_rows(spark):
     texts = {r.doc_id: r.text for r in rows}
     assert texts[4] is None and texts[5] == "" and texts[2] == ""  # 2's one line is 1's
     assert L.keep_bitmaps(none(spark)).collect() == []
+    docs = table(spark, (1, "a\nb"), (2, "b\nc")).selectExpr("*", "1 as __t", "2 as t", "3 as k", "4 as `a.b`")
+    got = {r.doc_id: r for r in L.apply_bitmaps(docs, L.keep_bitmaps(docs)).collect()}
+    assert (got[2].text, got[2]["__t"], got[2]["t"], got[2]["k"], got[2]["a.b"]) == ("c", 1, 2, 3, 4)
