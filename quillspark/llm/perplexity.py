@@ -39,6 +39,8 @@ CACHE = 10.0
 SHARD_BYTES, _ENTRY = 128 << 20, 12
 BOS = "\x02"
 _COUNT_BYTES = 2 << 20
+#: Entries of a table of ranks, beyond which codes are sorted; counts that a task holds.
+_TABLE, _HELD = 1 << 23, 1 << 20
 
 
 def _characters(part: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,10 +55,52 @@ def _characters(part: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarra
     return out, place, ends
 
 
+def _dense(code: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Codes below size as ranks among those that occur, and how many do."""
+    if size <= _TABLE:
+        seen = np.zeros(size, bool)
+        seen[code] = True
+        rank = np.cumsum(seen, dtype=np.int32)
+        return rank[code].astype(np.int64) - 1, int(rank[-1])
+    kinds, rank = np.unique(code, return_inverse=True)
+    return rank, len(kinds)
+
+
+def _ranks(chars: np.ndarray, place: np.ndarray, base: np.ndarray, order: int) -> tuple[np.ndarray, int, np.ndarray, int]:
+    """Of each place the rank of its n-gram among those of the slice, how many there are, and
+    the same of the context before it. base: small numbers that keep languages apart.
+    Built up a character at a time, without a hash or a sort."""
+    symbol, width = _dense(chars.astype(np.int64), 0x110000)
+    rank, kinds = base, int(base.max()) + 1
+    before = rank, kinds
+    for n in range(order):
+        before = rank, kinds
+        last = rank if n == 0 else np.r_[rank[:1], rank[:-1]]
+        rank, kinds = _dense(last * width + symbol, kinds * width)
+    return rank[place], kinds, before[0][place - 1], before[1]
+
+
+def _spread(chars: np.ndarray, ends: np.ndarray, values: np.ndarray, order: int) -> np.ndarray:
+    """A row's value at each of its characters and marks."""
+    return np.repeat(values, np.diff(ends) + order - 1)
+
+
 def _counter(order: int):
-    """Rows (lang, text) to counts (lang, gram, n) of slices."""
+    """Rows (lang, text) to counts (lang, gram, n) of a task, or of a part of it with many n-grams."""
+
+    def merged(parts: list[tuple]) -> tuple:
+        key, lang, grams, n = (np.concatenate(x) for x in zip(*parts))
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        return key, lang[first], grams[first], np.bincount(inverse, n, len(key)).astype(np.int64)
+
+    def out(part: tuple, names: list[str]) -> pa.RecordBatch:
+        _, lang, grams, n = part
+        text = np.ascontiguousarray(grams).view(f"<U{order}").ravel()
+        return pa.record_batch([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(text.tolist(), pa.string()), pa.array(n)], ["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        held: list[tuple] = []
         for batch in batches:
             lang = batch.column(0).to_pylist()
             buf, offs = text_buffers(batch.column(1), lower=False)
@@ -64,30 +108,21 @@ def _counter(order: int):
                 chars, place, ends = _characters(part, at, order)
                 if not len(place):
                     continue
-                names = sorted(set(lang[i:j]))
-                rank = {x: k for k, x in enumerate(names)}
-                own = np.repeat(np.array([rank[x] for x in lang[i:j]], np.uint64), np.diff(ends))
-                seen = np.zeros(0x110000, bool)
-                seen[chars] = True
-                alphabet = np.flatnonzero(seen)
-                dense = np.cumsum(seen, dtype=np.int64)[chars] - 1
-                width = max(1, int(len(alphabet) - 1).bit_length())
-                if width * order + max(1, len(names) - 1).bit_length() <= 64:
-                    key = own.copy()
-                    for k in range(order):
-                        key = key << np.uint64(width) | dense[place - (order - 1 - k)].astype(np.uint64)
-                    key, n = np.unique(key, return_counts=True)
-                    grams = np.empty((len(key), order), np.uint32)
-                    for k in range(order - 1, -1, -1):
-                        grams[:, k] = alphabet[(key & np.uint64((1 << width) - 1)).astype(np.int64)]
-                        key = key >> np.uint64(width)
-                    which = key.astype(np.int64)
-                else:  # a large alphabet: by hash, which on a slice of this size is as good as exact
-                    key = gram_hash(chars, place, order, mix(own + np.uint64(1)))
-                    _, where, n = np.unique(key, return_index=True, return_counts=True)
-                    grams, which = chars[place[where][:, None] + np.arange(1 - order, 1)], own[where].astype(np.int64)
-                text = np.ascontiguousarray(grams).view(f"<U{order}").ravel()
-                yield pa.record_batch([pa.array(np.array(names, object)[which], pa.string()), pa.array(text.tolist(), pa.string()), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                own = np.array([names.setdefault(x, len(names)) for x in lang[i:j]], np.int64)
+                rank, kinds, _, _ = _ranks(chars, place, _spread(chars, ends, own, order), order)
+                some = np.empty(kinds, np.int64)
+                some[rank] = np.arange(len(place))
+                n = np.bincount(rank, minlength=kinds)
+                some, n = some[n > 0], n[n > 0]
+                which = np.repeat(own, np.diff(ends))[some]
+                key = gram_hash(chars, place[some], order, mix(which.astype(np.uint64) + np.uint64(1)))
+                held.append((key, which, chars[place[some][:, None] + np.arange(1 - order, 1)], n))
+                if sum(len(x[0]) for x in held) > _HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield out(held.pop(), list(names))
+        if held:
+            yield out(merged(held), list(names))
 
     return run
 
@@ -250,12 +285,14 @@ def hashed(model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
 
 def load_shard(entries: DataFrame, k: int, order: int = ORDER) -> Shard:
     """A shard's arrays, gathered on the driver to be broadcast; its size is bounded by SHARD_BYTES, about."""
-    got = entries.where(F.col("shard").isin(-1, k)).toArrow()
-    size, context = np.asarray(got["size"]), np.asarray(got["context"])
-    key, value = np.asarray(got["key"]).view(np.uint64), np.asarray(got["value"])
-    del got
-    part = lambda which, n: Arrays.of(key[own], value[own]) if (own := (size == n) & (context == which)).any() else Arrays.of(key[:0], value[:0])
-    return Shard([part(False, n) for n in range(order + 1)], [part(True, n) for n in range(order)])
+
+    def gathered(context: bool, sizes: int) -> list[Arrays]:
+        got = entries.where(F.col("shard").isin(-1, k) & (F.col("context") == context)).select("size", "key", "value").toArrow()
+        size, key, value = (np.asarray(got[c]) for c in ("size", "key", "value"))
+        del got
+        return [Arrays.of(key[size == n].view(np.uint64), value[size == n]) for n in range(sizes)]
+
+    return Shard(gathered(False, order + 1), gathered(True, order))
 
 
 def log_probabilities(shard: Shard, chars: np.ndarray, place: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
@@ -286,10 +323,12 @@ def _lgamma(x, log):
     return (y - 0.5) * log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - log(product)
 
 
-def _runs(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, occurrences) of each distinct key of a row."""
-    _, first, n = np.unique(mix(key ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-    return first, n
+def _runs(row: np.ndarray, rank: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, rank, occurrences) of each row's distinct ranks."""
+    key = np.sort(row * kinds + rank)
+    start = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]][: len(key)])
+    key = key[start]
+    return key // kinds, key % kinds, np.diff(np.r_[start, len(row)])
 
 
 _SUMS = "doc_id bigint, lang string, h bigint, once bigint, n bigint, t double, l1 double, l2 double"
@@ -309,20 +348,32 @@ def _scorer(shared, k: int, shards: int, order: int, cache: float):
                 for x in set(lang[i:j]) - seeds.keys():
                     seeds[x] = seed_of(x)
                 n = np.diff(ends)
-                own = np.repeat(np.array([seeds[x] for x in lang[i:j]], np.uint64), n)
-                row = np.repeat(np.arange(j - i), n)
-                if shards > 1:
-                    here = cell(chars, place - 1, own, shards) == k
-                    place, own, row = place[here], own[here], row[here]
-                at, times = _runs(gram_hash(chars, place, order, np.uint64(0)), row)
-                lp = log_probabilities(shard, chars, place[at], own[at], order)
-                l1, l2 = (np.bincount(row[at], times * v, j - i) for v in (lp, lp * lp))
-                t = l1
-                if cache:
-                    a = cache * np.exp(lp)
-                    t = np.bincount(row[at], _lgamma(a + times, np.log) - _lgamma(a, np.log), j - i)
-                    at, times = _runs(gram_hash(chars, place - 1, order - 1, np.uint64(0)), row)
-                    t = t - np.bincount(row[at], _lgamma(cache + times, np.log) - _lgamma(np.array(cache), np.log), j - i)
+                names = {x: r for r, x in enumerate(sorted(set(lang[i:j])))}
+                t = l1 = l2 = np.zeros(j - i)
+                if len(place):
+                    base = _spread(chars, ends, np.array([names[x] for x in lang[i:j]], np.int64), order)
+                    rank, kinds, context, contexts = _ranks(chars, place, base, order)
+                    row = np.repeat(np.arange(j - i), n)
+                    some = np.zeros(kinds, np.int64)
+                    some[rank] = np.arange(len(place))
+                    own = np.array([seeds[x] for x in names], np.uint64)[base[place[some]]]
+                    if shards > 1:
+                        here = (cell(chars, place[some] - 1, own, shards) == k)[rank]
+                        row, rank, context = row[here], rank[here], context[here]
+                    found = log_probabilities(shard, chars, place[some], own, order)
+                    at, g, times = _runs(row, rank, kinds)
+                    lp = found[g]
+                    l1, l2 = (np.bincount(at, times * v, j - i) for v in (lp, lp * lp))
+                    t = l1
+                    if cache:
+                        drawn = np.log(cache) + lp
+                        many = np.flatnonzero(times > 1)
+                        a = np.exp(drawn[many])
+                        drawn[many] = _lgamma(a + times[many], np.log) - _lgamma(a, np.log)
+                        t = np.bincount(at, drawn, j - i)
+                        at, _, times = _runs(row, context, contexts)
+                        rising = np.r_[0.0, np.cumsum(np.log(cache + np.arange(times.max(initial=0))))]
+                        t = t - np.bincount(at, rising[times], j - i)
                 first = np.full(j - i, int(k == 0))
                 columns = [*(batch.column(c).slice(i, j - i) for c in range(3)), *map(pa.array, (first, n * first, t, l1, l2))]
                 yield pa.record_batch(columns, [c.split()[0] for c in _SUMS.split(", ")])
