@@ -12,7 +12,7 @@ from .sources.store import Store
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillspark", description="Care for a store.")
-    p.add_argument("command", choices=["check", "inspect", "backup", "restore", "size", "compact", "rollback"])
+    p.add_argument("command", choices=["check", "inspect", "backup", "restore", "size", "compact", "rollback", "compat", "migrate"])
     p.add_argument("root")
     p.add_argument("--at", help="folder of a backup")
     p.add_argument("--fields", default="text", help="analysed fields, separated by commas")
@@ -38,6 +38,10 @@ def main(args: list[str] | None = None) -> int:
             print(store.compact(a.partitions))
         case "rollback":
             print(json.dumps(store.rollback()))
+        case "compat":
+            print(json.dumps(store.compat()))
+        case "migrate":
+            print(store.migrate())
     return 0
 
 

@@ -20,17 +20,16 @@ def read_documents(spark: SparkSession, path: str, schema: str, max_files: int =
 
 
 def ingest(documents: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
-    """Adds a stream's documents to a store, a commit for each batch. A batch that
-    runs again after a failure changes nothing: documents replace those of their doc_id."""
+    """Adds a stream's documents to a store, a segment and a commit for each batch, in the place
+    of those with their doc_ids; so a batch that runs again after a failure changes
+    nothing. Of a batch's rows with one doc_id the greatest stays, by its columns in
+    order, whatever order they come in."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(["doc_id"])
-        if batch.isEmpty():
-            return
-        if store.versions():
-            old = store.docs().join(batch.select("doc_id"), "doc_id", "left_anti")
-            batch = old.unionByName(batch, allowMissingColumns=True)
-        store.commit(batch, f"batch {number}")
+        rest = [c for c in batch.columns if c != "doc_id"]
+        batch = batch.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*batch.columns)
+        if not batch.isEmpty():
+            store.upsert(batch, f"batch {number}")
 
     w = documents.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

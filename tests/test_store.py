@@ -65,7 +65,7 @@ def test_recovery(spark, store, tmp_path):
         assert store.latest() == v1 and found(store, "red") == [1]
     path.unlink()
     assert store.rollback() == [v2] and store.add(docs(spark, (5, "x", "b"))) == v2
-    data = next((tmp_path / "store" / f"v-{v2:08d}" / "docs").glob("*.parquet"))
+    data = next((tmp_path / "store" / store.manifest(v2)["segments"][-1]["name"] / "docs").glob("*.parquet"))
     data.unlink()
     assert store.check(v2)[0][0] == "file-missing"
     with pytest.raises(StoreError):
@@ -74,11 +74,73 @@ def test_recovery(spark, store, tmp_path):
 
 def test_check_finds_what_is_wrong(spark, store):
     v = store.add(docs(spark, (1, "red fox", "a")))
-    at, ix = store._at(v), store.index(v)
+    at, ix = f"{store.root}/{store.manifest(v)['segments'][0]['name']}", store.index(v)
     extra = ix.postings.where("term = 'red'").selectExpr("term", "99L as doc_id", "7 as tf", "positions", "dl", "field")
     extra.write.mode("append").partitionBy("field").parquet(f"{at}/postings")
-    assert {c for c, _ in store.check(v)} == {"posting-orphan", "posting-frequency", "term-frequency"}
-    assert store.check(v, deep=False) == []
+    assert {c for c, _ in store.check(v)} == {"file-unknown", "posting-orphan", "posting-frequency", "length", "length-total", "term-frequency", "term-occurrences"}
+    assert {c for c, _ in store.check(v, deep=False)} == {"file-unknown"}
+
+
+def damaged(path):
+    """A byte in the middle of a file is another, its length the same."""
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 2] ^= 0xFF
+    path.write_bytes(bytes(raw))
+    for crc in path.parent.glob(f".{path.name}.crc"):
+        crc.unlink()
+
+
+def test_altered_bytes_are_found(spark, store, tmp_path):
+    store.add(docs(spark, (1, "red fox", "a")))
+    saved = store.backup(str(tmp_path / "copy"))
+    damaged(next((tmp_path / "copy").glob("s-*/docs/*.parquet")))
+    other = Store(spark, str(tmp_path / "other"), store.text, store.exact)
+    with pytest.raises(StoreError, match="altered"):
+        other.restore(saved)
+    damaged(next((tmp_path / "store").glob("s-*/postings/*/*.parquet")))
+    assert [c for c, _ in store.check()] == ["file-checksum"] and store.check(deep=False) == []
+    with pytest.raises(StoreError, match="altered"):
+        store.backup(str(tmp_path / "again"))
+
+
+def test_adding_writes_what_is_added(spark, tmp_path):
+    """A commit of one document in a hundred writes about a hundredth of the bytes; deletes and rewrites come out as a whole index would."""
+    s = Store(spark, str(tmp_path / "s"), {"body": standard_analyser()}, ("kind",), keep=10)
+    s.add(docs(spark, *((i, " ".join(f"w{(i * k) % 977}" for k in range(1, 200)), "a") for i in range(2000))))
+    before = sum(n for n, _ in s.manifest(s.latest())["files"].values())
+    old = set(s.manifest(s.latest())["files"])
+    s.add(docs(spark, *((i, " ".join(f"w{(i * k) % 977}" for k in range(1, 200)), "b") for i in range(2000, 2020))))
+    s.delete(Q.Term("kind", "b"))
+    m = s.manifest(s.latest())
+    assert old <= set(m["files"]) and sum(n for f, (n, _) in m["files"].items() if f not in old) < 0.15 * before  # with the footers of small files
+    s.upsert(docs(spark, (3, "w1 w2 new", "c"), (5000, "new w3", "c")))
+    s.update("body", "w3", docs(spark, (6000, "w3", "d")))
+    ix = s.index()
+    whole = Store(spark, str(tmp_path / "whole"), s.text, s.exact)
+    whole.commit(s.docs())
+    other = whole.index()
+    assert (ix.n_docs, ix.avgdl) == (other.n_docs, other.avgdl) and s.check() == [] and len(m["segments"]) == 2
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(ix.terms.select("field", "term", "df", "cf")) == rows(other.terms.select("field", "term", "df", "cf"))
+    assert rows(compile(Q.Term("body", "w1"), ix)) == rows(compile(Q.Term("body", "w1"), other))
+    s.compact(2)
+    assert rows(s.index().terms.select("field", "term", "df", "cf")) == rows(other.terms.select("field", "term", "df", "cf")) and s.check() == []
+    with pytest.raises(StoreError, match="repeat"):
+        s.add(docs(spark, (3, "again", "a")))
+    with pytest.raises(StoreError, match="another type"):
+        s.add(spark.createDataFrame([(9000, 5)], "doc_id bigint, body int"))
+
+
+def test_policies_and_views(spark, store, tmp_path):
+    s = store.with_policy(lambda found: [v for v, note in found if note == "add"])
+    s.add(docs(spark, (1, "red fox", "a")))
+    s.delete(Q.Term("kind", "zz"))
+    s.upsert(docs(spark, (1, "red cat", "a")))
+    assert [m["note"] for m in s.inspect()] == ["add", "upsert"]  # the newest stays too
+    view = s.uncommitted(docs(spark, (2, "blue cat", "b")))
+    assert view.n_docs == 2 and sorted(r.doc_id for r in compile(Q.Term("body", "cat"), view).collect()) == [1, 2]
+    assert found(s, "cat") == [1]
+    assert all(x["readable"] for x in s.compat())
 
 
 def test_blocks(spark, store):
