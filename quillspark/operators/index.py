@@ -6,13 +6,15 @@
     stats     (field, n_docs, sum_len, avgdl)
 
 Analysis runs once. A document's postings are made where its row is read (no
-shuffle); one exchange by term, salted by document so that a frequent term is
-spread over several tasks, puts them in files sorted by field and term, whose row
-groups a query's term predicate prunes.
+shuffle); one exchange by term puts them in files sorted by field and term, whose row
+groups a query's term predicate prunes. A term is in one file, but for those that
+would fill a task by themselves: they're salted by document, by their frequency among
+the first documents. A field's lengths are the sums of its terms' frequencies.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyser, standard_analyser
 from ..functions.similarity import Similarity, bm25
-from ..session import shared_folder
+from ..session import shared_folder, spread
 
-SALTS = 16
+#: Postings of a term that one task takes; documents that tell which terms have more.
+TASK_ROWS, LOOK = 1 << 20, 10_000
 POSTINGS = "field string, term string, doc_id bigint, tf int, positions array<int>, dl int"
-#: The term of the row that tells a document's length.
-_LENGTH = ""
+TERMS = "field string, term string, df bigint, cf bigint"
 
 
 def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +51,6 @@ def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         owner = row[order[cut]]
         positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)) if len(cut) else pa.array([], pa.list_(pa.int32()))
         yield pa.record_batch([fields.take(pa.array(owner)), d.dictionary.take(pa.array(code[order[cut]])), ids.take(pa.array(owner)), pa.array(np.diff(ends).astype(np.int32)), positions, pa.array(size[owner].astype(np.int32))], schema=_SCHEMA)
-        n = len(size)
-        yield pa.record_batch([fields, pa.array([_LENGTH] * n, pa.string()), ids, pa.array(np.zeros(n, np.int32)), pa.array([[]] * n, pa.list_(pa.int32())), pa.array(size.astype(np.int32))], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([("field", pa.string()), ("term", pa.string()), ("doc_id", pa.int64()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32())), ("dl", pa.int32())])
@@ -67,6 +67,8 @@ class Index:
     avgdl: dict[str, float]
     analysers: dict[str, Analyser] = field(default_factory=dict)
     similarity: Similarity = bm25
+    #: Tells this index from all others, also from those that have gone.
+    token: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -79,7 +81,7 @@ class Index:
 
     def of_field(self, name: str, condition: Callable[[Column], Column] | Column | None = None) -> DataFrame:
         """The postings of a field whose term meets the condition."""
-        p = self.postings.where((F.col("field") == name) & (F.col("term") != _LENGTH))
+        p = self.postings.where(F.col("field") == name)
         return p if condition is None else p.where(condition if isinstance(condition, Column) else condition(F.col("term")))
 
     def vocabulary(self, name: str, condition: Column | None = None) -> DataFrame:
@@ -88,7 +90,7 @@ class Index:
         return (t if condition is None else t.where(condition)).select("term", "df", "cf")
 
     def with_similarity(self, similarity: Similarity) -> Index:
-        return replace(self, similarity=similarity)
+        return replace(self, similarity=similarity, token=uuid.uuid4().hex)
 
 
 def analysed(docs: DataFrame, text: dict[str, Analyser]) -> DataFrame:
@@ -111,6 +113,34 @@ def postings_of(docs: DataFrame, text: dict[str, Analyser], exact: tuple[str, ..
     return made
 
 
+def salts(docs: DataFrame, text: dict[str, Analyser], exact: tuple[str, ...], n_docs: int) -> DataFrame | None:
+    """(field, term, salts) of the terms that are likely to have more than TASK_ROWS
+    postings; None if there are none. They change where rows go, not what they are."""
+    if n_docs <= TASK_ROWS:
+        return None
+    some = docs.limit(LOOK)
+    seen = postings_of(some, text, exact).groupBy("field", "term").agg((F.count("*") * (n_docs / LOOK)).alias("n")).where(F.col("n") > TASK_ROWS)
+    rows = seen.select("field", "term", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("salts")).collect()  # TASK_ROWS / n_docs of the documents hold each, so they're few
+    return docs.sparkSession.createDataFrame(rows, "field string, term string, salts int") if rows else None
+
+
+def write_postings(docs: DataFrame, text: dict[str, Analyser], exact: tuple[str, ...], path: str, n_docs: int) -> DataFrame:
+    """Writes the postings and terms of docs below path; (field, sum_len) of the text fields is returned."""
+    spark = docs.sparkSession
+    p = postings_of(spread(docs), text, exact)
+    hot = salts(docs, text, exact, n_docs)
+    if hot is None:
+        p = p.repartition("field", "term")
+    else:
+        p = p.join(F.broadcast(hot), ["field", "term"], "left")
+        p = p.repartition("field", "term", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    p.sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
+    t = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    t.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/terms")
+    t = spark.read.schema(TERMS).parquet(f"{path}/terms")
+    return t.where(F.col("field").isin(*text)).groupBy("field").agg(F.sum("cf").alias("sum_len"))
+
+
 def build(docs: DataFrame, text: dict[str, Analyser] | tuple[str, ...], exact: tuple[str, ...] = (), path: str | None = None) -> Index:
     """Indexes docs (doc_id and other columns) and opens the result; path: where
     the tables go, else a folder that all executors share. A null text has length
@@ -119,19 +149,19 @@ def build(docs: DataFrame, text: dict[str, Analyser] | tuple[str, ...], exact: t
         text = {f: standard_analyser() for f in text}
     path = path or shared_folder(docs.sparkSession)
     docs = docs.where("doc_id is not null")
-    p = postings_of(docs, text, exact).repartition("field", "term", F.pmod("doc_id", F.lit(SALTS)))
-    p.sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    p = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    t = p.where(F.col("term") != _LENGTH).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    t.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/terms")
-    return open_index(docs, path, text)
+    n = docs.count()
+    lengths = {r.field: r.sum_len for r in write_postings(docs, text, exact, path, n).collect()}  # a row for each field
+    return open_index(docs, path, text, n, lengths)
 
 
-def open_index(docs: DataFrame, path: str, text: dict[str, Analyser]) -> Index:
-    """The index whose tables are at path."""
+def open_index(docs: DataFrame, path: str, text: dict[str, Analyser], n_docs: int, lengths: dict[str, int]) -> Index:
+    """The index whose tables are at path; lengths: tokens of each text field."""
     spark = docs.sparkSession
     p = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    t = spark.read.schema("field string, term string, df bigint, cf bigint").parquet(f"{path}/terms")
-    lengths = p.where(F.col("term") == _LENGTH).groupBy("field").agg(F.avg("dl").alias("a")).collect()  # a row for each field
-    return Index(docs, p, t, docs.count(), {r.field: float(r.a) for r in lengths}, text)
+    t = spark.read.schema(TERMS).parquet(f"{path}/terms")
+    return Index(docs, p, t, n_docs, averages(text, n_docs, lengths), text)
+
+
+def averages(text: dict[str, Analyser], n_docs: int, lengths: dict[str, int]) -> dict[str, float]:
+    """The mean length of each text field; none of no documents."""
+    return {f: lengths.get(f, 0) / n_docs for f in text} if n_docs else {}

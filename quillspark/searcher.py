@@ -67,10 +67,11 @@ class Cache:
 
 @dataclass
 class Record:
-    """Counts, the last searches, and a log of slow ones (JSON lines)."""
+    """Counts, the last searches, and a log of slow ones (JSON lines). listener is told of each search."""
 
     slow_ms: float | None = None
     log: Callable[[str], None] | None = None
+    listener: Callable[[dict], None] | None = None
     counts: Counter = field(default_factory=Counter)
     recent: deque = field(default_factory=lambda: deque(maxlen=1000))
 
@@ -81,6 +82,8 @@ class Record:
         self.counts[f"kind:{event['kind']}"] += 1
         self.counts["ms"] += ms
         self.recent.append(event)
+        if self.listener:
+            self.listener(dict(event))
         if self.slow_ms is not None and ms >= self.slow_ms:
             self.counts["slow"] += 1
             if self.log:
@@ -111,7 +114,7 @@ class Searcher:
         cancelled and returned as partial, without hits if none were there yet."""
         began = time.time()
         query = self.query(query) if isinstance(query, str) else query
-        key = (query, n, id(self.index))
+        key = (query, n, self.index.token)
         if self.cache and (found := self.cache.get(key)):
             self.record.add(query, (time.time() - began) * 1000, found.total, True)
             return found

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -48,6 +48,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str = "doc_id", bytes_each: int = 16 << 20) -> DataFrame:
+    """df in as many partitions as there are cores if it's read in fewer, as a small
+    file is, so that work on its rows isn't one task's. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * bytes_each else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors see. On
     one machine, where the session names none, a folder is chosen and set."""
