@@ -25,7 +25,11 @@ _CJK = "一-鿿㐀-䶿぀-ゟ゠-ヿ가-힯"
 
 
 def _matches(pattern: str) -> Step:
-    return lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+    def run(s: Column) -> Column:
+        return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+
+    run.pattern = pattern  # where tokens stand is told by it, see offsets
+    return run
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.analysis import Analyser
+from ..functions.offsets import forms, pattern_of
 from ..functions.similarity import idf
 from ..functions.vectors import cosine
 from ..plans import query as Q
@@ -18,12 +20,13 @@ from .index import Index
 _WORD = re.compile(r"[^\W_]+")
 
 
-def snippet(text: str | None, terms: Iterable[str], most: int = 200, before: str = "<b>", after: str = "</b>", normal: Callable[[str], str] = str.lower) -> str:
+def snippet(text: str | None, terms: Iterable[str], most: int = 200, before: str = "<b>", after: str = "</b>", normal: Callable[[str], str] = str.lower, word=_WORD) -> str:
     """The window of most characters that has most of the terms, the first of equals,
-    terms marked, "..." where it's cut. Without terms the text's beginning; of null ''."""
-    text, terms = text or "", {t.lower() for t in terms}
-    hits = [m.span() for m in _WORD.finditer(text) if normal(m[0]) in terms] if terms else []
-    if not terms or not _WORD.search(text):
+    terms marked, "..." where it's cut. Without terms the text's beginning; of null ''.
+    normal takes a word, a match of the pattern, to its term."""
+    text, terms = text or "", {normal(t) for t in terms}
+    hits = [m.span() for m in word.finditer(text) if normal(m[0]) in terms] if terms else []
+    if not terms or not word.search(text):
         return text if len(text) <= most else text[:most] + "..."
     lo, hi, best, first = 0, min(len(text), most), 0, 0
     for s, _ in hits:
@@ -37,19 +40,21 @@ def snippet(text: str | None, terms: Iterable[str], most: int = 200, before: str
         if n > best:
             lo, hi, best = start, end, n
     part = text[lo:hi]
-    marked = _WORD.sub(lambda m: before + m[0] + after if normal(m[0]) in terms else m[0], part)
+    marked = word.sub(lambda m: before + m[0] + after if normal(m[0]) in terms else m[0], part)
     return "..." * (lo > 0) + marked + "..." * (hi < len(text))
 
 
-def highlight(text: Column, terms: Iterable[str], most: int = 200, before: str = "<b>", after: str = "</b>") -> Column:
-    """snippet() of each row; for use on the few rows that are shown, after a limit."""
-    wanted = sorted(terms)
+def highlight(docs: DataFrame, field: str, analyser: Analyser, terms: Iterable[str], most: int = 200, before: str = "<b>", after: str = "</b>") -> DataFrame:
+    """docs with the field's snippet as a column of that name. Words are marked where
+    the analyser takes them to one of the terms, whatever their spelling: stemmed and
+    folded words too. docs is read twice, first for these spellings."""
+    wanted, word = forms(docs, field, analyser, sorted(terms)), pattern_of(analyser)
 
     @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([snippet(t, wanted, most, before, after) for t in texts.to_pylist()], pa.string())
+        return pa.array([snippet(t, wanted, most, before, after, lambda x: x, word) for t in texts.to_pylist()], pa.string())
 
-    return run(text)
+    return docs.withColumn("snippet", run(F.col(field)))
 
 
 def explain(index: Index, query: Q.Term) -> DataFrame:

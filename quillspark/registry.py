@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis as A
+from .functions.offsets import spans
 from .functions.similarity import tf_idf
 from .functions.stem import stem_sql
 from .functions.stopwords import STOP_WORDS
@@ -22,6 +23,7 @@ from .operators import suggest as S
 from .plans import query as Q
 from .plans.compile import compile, top
 from .plans.parse import parse
+from .session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,18 +238,35 @@ def _several(spark: SparkSession, d: str) -> DataFrame:
 register("r_aggregations", _several, f"{_DER}, v as (select n_chars::double as v from h join documents using (doc_id)), e as (select floor(min(v) / 1000)::bigint as lo, greatest(1, ceil((max(v) - floor(min(v) / 1000) * 1000) / 1000)::bigint + 1) as k from v), b as (select lo + unnest(range(k)) as b from e) select 'length' as name, min(v) as low, max(v) as high, count(*) as count from v union all select 'spread', (b.b * 1000)::double, ((b.b + 1) * 1000)::double, count(v.v) from b left join v on floor(v.v / 1000)::bigint = b.b group by b.b")
 register("x_explain", lambda spark, d: H.explain(index(spark, d), T("der", 2.0)).select("doc_id", *(F.round(c, 6).alias(c) for c in ("score", "idf")), F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"), F.round("avgdl", 6).alias("avgdl"), "boost"), f"{_IDX}select doc_id, round(2 * s, 6)::double as score, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6)::double as idf, tf::bigint as tf, dl::bigint as dl, round(a, 6)::double as avgdl, 2.0::double as boost from bm, n where term = 'der'")
 register("x_count", lambda spark, d: _DER_(spark, d).agg(F.count("*").alias("n")), f"{_DER} select count(*) as n from h")
-register("x_highlight", lambda spark, d: R.stored(top(compile(T("thing"), index(spark, d)), 20), _documents(spark, d), "text").select("doc_id", H.highlight(F.col("text"), Q.terms_of(T("thing"))).alias("snippet")))
+register("x_highlight", lambda spark, d: H.highlight(R.stored(compile(T("thing"), index(spark, d)), _documents(spark, d), "text"), "text", A.standard_analyser(), Q.terms_of(T("thing"))).select("doc_id", "snippet"))
+register(
+    "x_offsets",
+    lambda spark, d: spans(table(spark, d, "documents"), "doc_id", "text", A.standard_analyser()).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws("-", F.lpad(F.col("start").cast("string"), 8, "0"), "term"))), "|")).alias("digest")),
+    f"""with x as (select doc_id, regexp_extract_all(text, '{_WORDS}') as toks, string_split_regex(text, '{_WORDS}') as seps from documents),
+y as (select doc_id, unnest(range(len(toks))) as k, unnest(toks) as tok, unnest(seps[1:len(toks)]) as sep from x),
+z as (select doc_id, k, lower(tok) as term, sum(length(tok) + length(sep)) over (partition by doc_id order by k) as e, length(tok) as n from y),
+w as (select doc_id, term, e - n as s, e from z where term not in ({_STOP}))
+select doc_id, count(*) as n, sum(s)::bigint as starts, sum(e)::bigint as ends, md5(string_agg(lpad(s::bigint::varchar, 8, '0') || '-' || term, '|' order by lpad(s::bigint::varchar, 8, '0') || '-' || term)) as digest from w group by doc_id""",
+)
 _TRI = "list_distinct(list_transform(range(1, length('onble') - 1), lambda i: substring('onble', i, 3)))"
 register(
     "s_did_you_mean",
     lambda spark, d: S.did_you_mean(index(spark, d), "text", "onble", 2, 10),
     f"{_IDX}select term, levenshtein({_ASCII}, 'onble')::int as distance, df::bigint as df, df / (1.0::double + levenshtein({_ASCII}, 'onble')) as score from terms where term <> 'onble' and abs(length(term) - 5) <= 2 and levenshtein({_ASCII}, 'onble') <= 2 and len(list_filter(range(1, length(term) - 1), lambda i: list_contains({_TRI}, substring(term, i, 3)))) >= 1 order by score desc, term limit 10",
 )
-_MISSPELT = ["thinng", "erring", "atttion", "rebble", "edbel"]
-register("s_did_you_mean_batch", lambda spark, d: S.did_you_mean_all(index(spark, d), "text", spark.createDataFrame([(w,) for w in _MISSPELT], "word string"), 2, 5))
+_GRAMS = "list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3))"
+register(
+    "s_did_you_mean_batch",
+    lambda spark, d: S.did_you_mean_all(index(spark, d), "text", table(spark, d, "benchmark").select(F.explode(A.standard_analyser()(F.col("text"))).alias("word")), 2, 5),
+    f"""{_IDX}, w as (select distinct unnest({_tokens()}) as word from benchmark), wg as (select word, unnest(list_distinct({_GRAMS.format('word')})) as g from w where length(word) >= 3),
+k as (select word, count(*) as kinds from wg group by word), tg as (select term, df, unnest({_GRAMS.format('term')}) as g from terms where length(term) >= 3),
+m as (select word, term, any_value(df) as df, count(*) as c from wg join tg using (g) where abs(length(word) - length(term)) <= 2 and word <> term group by word, term),
+l as (select m.*, kinds, levenshtein({_ASCII}, {_ASCII.replace('term', 'word')}) as d from m join k using (word) where c >= greatest(1, kinds - 6))
+select word, term, d::int as distance, df::bigint as df, df / (1.0::double + d) as score from l where d <= 2 qualify row_number() over (partition by word order by df / (1.0::double + d) desc, term) <= 5""",
+)
 register("s_complete", lambda spark, d: S.complete(index(spark, d), "text", "tho", 15), f"{_IDX}select term, df::bigint as df from terms where term like 'tho%' order by df desc, term limit 15")
 register("i_postings", lambda spark, d: index(spark, d).of_field("text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places")), f"{_IDX}select term, count(distinct doc_id) as df, count(*) as cf, sum(p)::bigint as places from pos group by term")
-register("i_stats", lambda spark, d: index(spark, d).stats.where("field = 'text'").select("field", "n_docs", F.round("avgdl", 6).alias("avgdl")), f"{_IDX}select 'text' as field, n::bigint as n_docs, round(a, 6)::double as avgdl from n")
+register("i_stats", lambda spark, d: index(spark, d).stats.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl")), f"{_IDX}select 'text' as field, n::bigint as n_docs, round(a, 6)::double as avgdl from n")
 
 # --- analysis
 
@@ -258,7 +277,7 @@ def _digest(toks: Column) -> list[Column]:
 
 def analysis(name: str, analyser: A.Analyser, sql: str | None, of: str = "documents", key: str = "doc_id", text: str = "text") -> None:
     """Registers an analysis of a whole column: the number of tokens and a digest of them all."""
-    register(name, lambda spark, d: table(spark, d, of).select(key, analyser(F.col(text)).alias("toks")).select(key, *_digest(F.col("toks"))), None if sql is None else f"select {key}, len(toks)::int as n_tokens, md5(array_to_string(toks, '|')) as digest from (select {key}, {sql} as toks from {of})")
+    register(name, lambda spark, d: spread(table(spark, d, of), key).select(key, analyser(F.col(text)).alias("toks")).select(key, *_digest(F.col("toks"))), None if sql is None else f"select {key}, len(toks)::int as n_tokens, md5(array_to_string(toks, '|')) as digest from (select {key}, {sql} as toks from {of})")
 
 
 _RAW, _LOW = f"regexp_extract_all(text, '{_WORDS}')", f"list_transform(regexp_extract_all(text, '{_WORDS}'), lambda x: lower(x))"
@@ -269,7 +288,9 @@ analysis("a_letter_tokeniser", A.Analyser(A.letters), r"regexp_extract_all(text,
 analysis("a_keyword_tokeniser", A.Analyser(A.keyword), "case when text = '' then [] else [text] end")
 analysis("a_ngram_tokeniser", A.Analyser(A.ngrams(2, 3)), "flatten(list_transform(range(1, length(text)), lambda i: list_transform(range(2, least(3, length(text) - i + 1) + 1), lambda k: array_to_string(string_split(p_type, '')[i:i + k - 1], ''))))".replace("text", "p_type"), "part", "p_partkey", "p_type")
 analysis("a_edge_ngram_tokeniser", A.Analyser(A.edge_ngrams(2, 4)), r"flatten(list_transform(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda t: length(t) >= 2), lambda t: list_transform(range(2, least(4, length(t)) + 1), lambda k: substring(t, 1, k))))")
-analysis("a_cjk_bigram_tokeniser", A.Analyser(A.cjk_bigrams), None)
+_CJK_WORDS = f"regexp_extract_all(regexp_replace(text, '([{A._CJK}]+)', ' \\1 ', 'g'), '{_WORDS}')"
+_CJK = f"flatten(list_transform({_CJK_WORDS}, lambda t: case when regexp_full_match(t, '[{A._CJK}]{{2,}}') then list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) else [t] end))"
+analysis("a_cjk_bigram_tokeniser", A.Analyser(A.cjk_bigrams), _CJK)
 analysis("a_lowercase", A.Analyser(A.standard, (A.lowercase,)), _LOW)
 analysis("a_stop", A.standard_analyser(), f"list_filter({_LOW}, lambda x: x not in ({_STOP}))")
 analysis("a_stop_extended", A.standard_analyser(STOP_WORDS["en_extended"]), f"list_filter({_LOW}, lambda x: x not in ({', '.join(repr(w) for w in sorted(STOP_WORDS['en_extended']))}))")
@@ -281,8 +302,13 @@ analysis("a_reverse", A.Analyser(A.standard, (A.reverse,)), f"list_transform({_R
 analysis("a_decimal_digits", A.Analyser(A.standard, (A.decimal_digits,)), f"list_transform({_RAW}, lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789'))")
 analysis("a_shingles", A.Analyser(A.standard, (A.shingles(2, 3),)), "list_concat(ws, flatten(list_transform(range(1, greatest(len(ws), 1)), lambda i: list_transform(range(2, least(3, len(ws) - i + 1) + 1), lambda k: array_to_string(ws[i:i + k - 1], ' ')))))", "documents")
 SQL["a_shingles"] = SQL["a_shingles"].replace("from documents", f"from (select doc_id, {_RAW} as ws from documents)")
-analysis("a_word_delimiter", A.Analyser(A.whitespace, (A.word_delimiter(preserve=True, join_words=True, join_numbers=True),)), None)
-analysis("a_synonyms", A.standard_analyser().then(A.synonym_graph({"thing": ["object"], "thing ing": ["pair"]})), None)
+_CUT = "regexp_replace(t, '[^\\p{L}\\p{Nd}]+', chr(1), 'g')"
+for _a, _b in (("(\\p{Nd})", "(\\p{L})"), ("(\\p{L})", "(\\p{Nd})"), ("(\\p{Ll})", "(\\p{Lu})"), ("(\\p{Lu})", "(\\p{Lu}\\p{Ll})")):
+    _CUT = f"regexp_replace({_CUT}, '{_a}{_b}', '\\1' || chr(1) || '\\2', 'g')"
+_DELIMITED = f"flatten(list_transform(list_transform({_SPACED}, lambda t: {{'t': t, 'p': list_filter(string_split({_CUT}, chr(1)), lambda x: x <> '')}}), lambda s: list_concat([s.t], s.p, case when len(list_filter(s.p, lambda x: not regexp_matches(x, '^\\p{{Nd}}'))) > 1 then [array_to_string(list_filter(s.p, lambda x: not regexp_matches(x, '^\\p{{Nd}}')), '')] else [] end, case when len(list_filter(s.p, lambda x: regexp_matches(x, '^\\p{{Nd}}'))) > 1 then [array_to_string(list_filter(s.p, lambda x: regexp_matches(x, '^\\p{{Nd}}')), '')] else [] end)))"
+analysis("a_word_delimiter", A.Analyser(A.whitespace, (A.word_delimiter(preserve=True, join_words=True, join_numbers=True),)), _DELIMITED)
+analysis("a_synonyms", A.standard_analyser().then(A.synonym_graph({"thing": ["object"], "thing ing": ["pair"]})), "flatten(list_transform(toks, lambda x, i: case when x = 'ing' and i > 1 and toks[i - 1] = 'thing' then [x, 'pair'] when x = 'thing' and not (i < len(toks) and toks[i + 1] = 'ing') then [x, 'object'] else [x] end))")
+SQL["a_synonyms"] = SQL["a_synonyms"].replace("from documents", f"from (select doc_id, {_tokens()} as toks from documents)")
 analysis("a_keyword_marker", A.Analyser(A.standard, (A.lowercase, A.keyword_marker(lambda t: A.stem(t, "fr"), ["elle", "mentre"]))), f"list_transform({_LOW}, lambda x: case when x in ('elle', 'mentre') then x else {stem_sql('x', 'fr')} end)")
 analysis("a_accent_folding", A.Analyser(A.standard, (A.lowercase, A.accent_folding)), f"list_transform({_LOW}, lambda x: strip_accents(x))")
 analysis("a_html_strip", A.Analyser(A.whitespace, char_filters=(A.html_strip,)), r"regexp_extract_all(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&\w+;', ' ', 'g'), '[^\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+')", "pages", "page_id", "html")
@@ -296,5 +322,6 @@ for _code in ("fr", "de", "es", "it", "pt", "nl", "ru", "ar"):
     analysis(f"a_language_{_code}", A.language_analyser(_code), f"list_transform(list_filter({_LOW}, lambda x: x not in ({_own})), lambda x: {stem_sql('x', _code)})")
 analysis("a_language_en", A.language_analyser("en"), None)
 for _code in ("zh", "ja", "ko"):
-    analysis(f"a_language_{_code}", A.language_analyser(_code), None)
+    _own = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STOP_WORDS[_code])) or "''"
+    analysis(f"a_language_{_code}", A.language_analyser(_code), f"list_filter(list_transform({_CJK}, lambda x: lower(x)), lambda x: x not in ({_own}))")
 register("a_by_language", lambda spark, d: table(spark, d, "documents").select("doc_id", A.by_language(F.col("text"), F.col("lang")).alias("toks")).select("doc_id", *_digest(F.col("toks"))))

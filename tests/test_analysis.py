@@ -138,3 +138,24 @@ def test_snippet():
         lo, hi = brute_snippet(text, {"aa", "dd"}, 40)
         plain = snippet(text, {"aa", "dd"}, 40, "", "")
         assert plain == "..." * (lo > 0) + text[lo:hi] + "..." * (hi < len(text))
+
+
+def test_places_of_tokens(spark):
+    """Start and end in characters, through filters; against a walk over the text."""
+    from quillspark.functions.offsets import forms, spans
+    from quillspark.operators.highlight import highlight
+
+    texts = ["The quick Foxes, running", "", None, "été 😀 Été foxes", "the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r.doc_id, r.place, r.start, r.end, r.term) for r in spans(docs, "doc_id", "text", A.stemmed_analyser()).collect())
+    assert got == [(0, 1, 4, 9, "quick"), (0, 2, 10, 15, "fox"), (0, 3, 17, 24, "run"), (3, 0, 0, 3, "été"), (3, 1, 6, 9, "été"), (3, 2, 10, 15, "fox")]
+    assert all(texts[i][s:e].lower().startswith(t[:2]) for i, _, s, e, t in got)
+    assert forms(docs, "text", A.stemmed_analyser(), ["fox", "run"]) == ["Foxes", "foxes", "running"]
+    marked = {r.doc_id: r.snippet for r in highlight(docs, "text", A.stemmed_analyser(), ["fox"]).collect()}
+    assert marked[0] == "The quick <b>Foxes</b>, running" and marked[3].endswith("<b>foxes</b>") and marked[2] == ""
+    for bad in (A.Analyser(A.ngrams(2, 3)), A.Analyser(A.standard, char_filters=(A.html_strip,))):
+        try:
+            spans(docs, "doc_id", "text", bad)
+        except ValueError:
+            continue
+        raise AssertionError
