@@ -4,7 +4,6 @@ broadcasts, and vectorised hashing of Arrow text batches."""
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder as shared_dir
+
 #: Text handled at once by the numpy kernels; bounds their temporaries.
 SLICE_BYTES = 1 << 20
 #: A side is broadcast only if the bytes of its rows, as measured, stay under this.
@@ -23,21 +24,6 @@ BROADCAST_BYTES = 64 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors see.
-
-    Where the session names none (tests, one machine) a folder is chosen once
-    and set as the checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends
     here and a lost executor costs no recomputation. Removed at exit."""
@@ -55,6 +41,20 @@ def release(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written() -> int:
+    """How many tables have been written, to be told to settle()."""
+    return len(_written)
+
+
+def settle(df: DataFrame, since: int) -> DataFrame:
+    """df written and read again, and the tables written before it since then removed."""
+    out = materialize(df)
+    for spark, path in _written[since:-1]:
+        release(spark, path)
+    del _written[since:-1]
+    return out
+
+
 @atexit.register
 def _cleanup() -> None:
     for spark, path in _written:

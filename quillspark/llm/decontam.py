@@ -236,3 +236,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     or text. Empty tables change nothing; other columns are kept as they are."""
     found = _found(docs, benchmark, window, least_words, slop, share, part_bytes)
     return drop_rows(docs, materialize(found.select("doc_id", "h").distinct()))
+
+
+_SQL_WORDS = "regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+#: Matches by the definition: starts from each block's two rarest words, runs as islands of equal words, shares as multisets in a window.
+SQL = f"""
+with docs as (select doc_id, {_SQL_WORDS} as ws from documents where doc_id is not null and text is not null),
+d as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as p from docs),
+items as (select distinct item_id, ws, len(ws) as m, floor({1 - SHARE:.10f} * len(ws) + 1e-9) as differ from (select item_id, {_SQL_WORDS} as ws from benchmark where item_id is not null and text is not null) where len(ws) >= {LEAST_WORDS}),
+sized as (select *, case when m // 4 > differ then 4 when m // 3 > differ then 3 when m // 2 > differ then 2 else 1 end as size from items),
+it as (select item_id, m, size, unnest(ws) as w, unnest(range(m)) as o from sized),
+df as (select w, count(distinct doc_id) as df from d where w in (select w from it) group by w),
+placed as (select item_id, size, o, w, o // size as block, df from it join df using (w) where o // size < m // size),
+ranked as (select *, row_number() over (partition by item_id, block order by df, o) as r, count(*) over (partition by item_id, block) as n from placed),
+anchors as (select a.item_id, a.o as o1, a.w as w1, coalesce(b.o, a.o) as o2, coalesce(b.w, a.w) as w2 from ranked a left join ranked b on a.item_id = b.item_id and a.block = b.block and b.r = 2 where a.r = 1 and a.n = a.size),
+starts as (select distinct x.doc_id, item_id, x.p - o1 as s from anchors join d x on x.w = w1 join d y on y.doc_id = x.doc_id and y.w = w2 and y.p = x.p - o1 + o2),
+equal_ as (select doc_id, item_id, s, o, o - row_number() over (partition by doc_id, item_id, s order by o) as island from starts join it using (item_id) join d using (doc_id) where d.p = s + o and d.w = it.w),
+runs as (select doc_id, item_id, s + min(o) as p, count(*) as n from equal_ group by doc_id, item_id, s, island),
+phrase as (select doc_id, item_id, max({{'n': n, 'q': -p}}) as best from runs group by doc_id, item_id),
+want as (select item_id, w, count(*) as c from it group by item_id, w),
+have as (select doc_id, item_id, s, w, count(*) as c from starts join items using (item_id) join d using (doc_id) where p >= s - {SLOP} and p < s + m + {SLOP} group by all),
+near as (select doc_id, item_id, s, sum(least(h.c, want.c))::bigint as n from have h join want using (item_id, w) group by doc_id, item_id, s),
+closest as (select doc_id, item_id, max({{'n': n, 'q': -greatest(0, s)}}) as best from near group by doc_id, item_id)
+select doc_id, item_id, case when phrase.best.n >= least({WINDOW}, m) then 'phrase' else 'proximity' end as kind,
+  (case when phrase.best.n >= least({WINDOW}, m) then -phrase.best.q else -closest.best.q end)::int as position,
+  (case when phrase.best.n >= least({WINDOW}, m) then phrase.best.n else closest.best.n end)::int as n_words
+from closest join items using (item_id) left join phrase using (doc_id, item_id)
+where phrase.best.n >= least({WINDOW}, m) or closest.best.n >= {SHARE} * m"""

@@ -9,6 +9,10 @@ A character that no single-character piece covers costs the least score minus 10
 and counts as its UTF-8 bytes if the vocabulary holds byte pieces, else each run
 of such characters counts as one.
 
+The default vocabulary is a piece model that was made by merges; its pieces and scores
+are taken as a unigram model's, as no model of that kind is at hand. Any sentencepiece
+model file may be given.
+
 Words are what a Metaspace pre-tokenizer gives: spaces become U+2581, one is put
 before a text that doesn't begin with one, and a word begins at each. Counts of
 words are remembered in each worker up to `CACHE` distinct ones; further words

@@ -69,6 +69,30 @@ def test_training_order_survives_files(spark, folder, tmp_path):
         assert all(r.position == r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
 
+def test_odd_rows(spark, folder, tmp_path):
+    """Nulls, repeats, long texts, clashing columns, and two texts under one doc_id, of which one is a copy or a leak."""
+    from odd import ROWS, odd
+
+    path, _ = folder
+    leak, clean, copy = f"{unlike(901, 60)} {unlike(5001, 30)}", unlike(7001, 80), unlike(7002, 80)
+    more = table(spark, (700, leak), (700, clean), (701, copy), (702, copy), (702, unlike(7003, 80))).selectExpr("*", *(f"'clash' as {c}" for c in odd(spark).columns[5:]))
+    docs = odd(spark).unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == odd(spark).columns
+    rows = docs.collect()
+    assert {r.text for r in rows if r.doc_id in (700, 701, 702)} == {clean, copy, unlike(7003, 80)}
+    assert all(r.term == "clash" for r in rows)
+    whole = {str(i) for i, *_ in ROWS} - {"2", "9"}  # copies of 1 and 8
+    assert {str(r.doc_id) for r in rows} == whole | {"700", "701", "702"}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r.doc_id) for r in rows)
+    assert [r.position for r in out] == list(range(len(out)))
+
+
 def test_empty(spark, folder, tmp_path):
     path, _ = folder
     for t in ("documents", "labels", "benchmark"):
