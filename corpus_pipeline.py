@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, mixing, ngram_join, quality_zstd, token_output
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, settle, sized_broadcast, written
 from quillspark.session import ship
 
 
@@ -56,9 +56,9 @@ def in_written_order(docs: DataFrame) -> DataFrame:
     x = docs.select("doc_id", "source", "lang", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     part = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1)
     before = Window.orderBy(F.expr("length(part)"), "part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = x.groupBy("file").agg(F.count("*").alias("n")).withColumn("part", part)
-    starts = starts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each file
-    return x.join(F.broadcast(starts), "file").select("doc_id", "source", "lang", "text", (F.col("start") + F.col("at")).alias("position"))
+    starts = x.groupBy("file").agg(F.count("*").alias("n")).withColumn("part", part)  # a row for each file
+    starts = starts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return x.join(sized_broadcast(materialize(starts)), "file").select("doc_id", "source", "lang", "text", (F.col("start") + F.col("at")).alias("position"))
 
 
 STAGES = [
@@ -73,8 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents in order, each result written as Parquet and read again; rows in training order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents in order, each result written as Parquet and
+    read again, when the stage's input and its own tables go; rows in training order."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settle(stage(spark, docs, sf_dir), since)
     return docs.orderBy("position")
