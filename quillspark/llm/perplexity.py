@@ -38,9 +38,9 @@ CACHE = 10.0
 #: Bytes of a shard of the model, about; and of one entry.
 SHARD_BYTES, _ENTRY = 128 << 20, 12
 BOS = "\x02"
-_COUNT_BYTES = 2 << 20
+_COUNT_BYTES = 3 << 20
 #: Entries of a table of ranks, beyond which codes are sorted; counts that a task holds.
-_TABLE, _HELD = 1 << 23, 1 << 20
+_TABLE, _HELD = 1 << 25, 1 << 20
 
 
 def _characters(part: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,22 +60,26 @@ def _dense(code: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     if size <= _TABLE:
         seen = np.zeros(size, bool)
         seen[code] = True
-        rank = np.cumsum(seen, dtype=np.int32)
-        return rank[code].astype(np.int64) - 1, int(rank[-1])
+        kinds = np.flatnonzero(seen)
+        rank = np.empty(size, np.int32)
+        rank[kinds] = np.arange(len(kinds), dtype=np.int32)
+        return rank[code], len(kinds)
     kinds, rank = np.unique(code, return_inverse=True)
-    return rank, len(kinds)
+    return rank.astype(np.int32), len(kinds)
 
 
 def _ranks(chars: np.ndarray, place: np.ndarray, base: np.ndarray, order: int) -> tuple[np.ndarray, int, np.ndarray, int]:
     """Of each place the rank of its n-gram among those of the slice, how many there are, and
     the same of the context before it. base: small numbers that keep languages apart.
     Built up a character at a time, without a hash or a sort."""
-    symbol, width = _dense(chars.astype(np.int64), 0x110000)
-    rank, kinds = base, int(base.max()) + 1
+    symbol, width = _dense(chars, 0x110000)
+    rank, kinds = base.astype(np.int32), int(base.max()) + 1
     before = rank, kinds
     for n in range(order):
         before = rank, kinds
         last = rank if n == 0 else np.r_[rank[:1], rank[:-1]]
+        if kinds * width > _TABLE:
+            last = last.astype(np.int64)
         rank, kinds = _dense(last * width + symbol, kinds * width)
     return rank[place], kinds, before[0][place - 1], before[1]
 
@@ -325,10 +329,12 @@ def _lgamma(x, log):
 
 def _runs(row: np.ndarray, rank: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, rank, occurrences) of each row's distinct ranks."""
-    key = np.sort(row * kinds + rank)
+    bits = int(kinds).bit_length()
+    small = not len(row) or int(row[-1] + 1) << bits < 1 << 31  # rows are in order
+    key = np.sort(row.astype(np.int32 if small else np.int64) << bits | rank)
     start = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]][: len(key)])
     key = key[start]
-    return key // kinds, key % kinds, np.diff(np.r_[start, len(row)])
+    return key >> bits, key & ((1 << bits) - 1), np.diff(np.r_[start, len(row)])
 
 
 _SUMS = "doc_id bigint, lang string, h bigint, once bigint, n bigint, t double, l1 double, l2 double"
