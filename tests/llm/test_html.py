@@ -105,3 +105,64 @@ def test_held_out_by_hash(spark):
                 all_ += len(x)
                 right += len(x) * ((p[k] >= H.LEAST) == t.marked[k])
     assert right > 0.97 * all_ > 0
+
+
+def test_whole_query_by_the_definition(spark):
+    """Counting, smoothing, marginals by enumeration and assembly, a node at a time."""
+    pages_ = [f"<div class='nav'><a href='/'>home {i}</a></div><article><p>Some text of {i}, which is long enough.</p><p>And <b>more {i}</b>.</p></article>" for i in range(12)]
+    pages_ += ["<div><p>Plain words, no mark.</p><a>x</a></div>", "", "<ul><li><a>one</a><li>two</ul>"]
+    trees = [H.parse(p) for p in pages_]
+    label, seen, edge = {}, {}, {}
+
+    def text_below(t, k):
+        return (len(t.text[k]), len(t.text[k]) * t.marked[k]) if t.text[k] else tuple(map(sum, zip((0, 0), *(text_below(t, c) for c in range(len(t.parent)) if t.parent[c] == k))))
+
+    for t, p in zip(trees, pages_):
+        if "<article" not in p:
+            continue
+        f = H.forest([t])
+        y = []
+        for k in range(len(t.parent)):
+            size, marked = text_below(t, k)
+            y.append(int(2 * marked > size))
+        label[y[0]] = label.get(y[0], 0) + 1
+        for k in range(len(t.parent)):
+            for x in f.features[k].tolist():
+                seen[x, y[k]] = seen.get((x, y[k]), 0) + 1
+            if k:
+                e = (t.tag[k], y[t.parent[k]], y[k])
+                edge[e] = edge.get(e, 0) + 1
+    s = H.SMOOTH
+
+    def unary(x, y):
+        at = max(o for o in H._OFFS if o <= x)
+        kinds = range(at + 1, at + H.SIZES[list(H._OFFS).index(at)])
+        return 0.0 if x == at else math.log((seen.get((x, y), 0) + s) / sum(seen.get((v, y), 0) + s for v in kinds))
+
+    def content(t):
+        f, n = H.forest([t]), len(t.parent)
+        own, total = [0.0] * n, 0.0
+        one = [[sum(unary(x, y) for x in f.features[k].tolist()) for y in (0, 1)] for k in range(n)]
+        for mask in range(1 << n):
+            y = [(mask >> k) & 1 for k in range(n)]
+            p = math.log((label.get(y[0], 0) + s) / (sum(label.values()) + 2 * s)) + sum(one[k][y[k]] for k in range(n))
+            for k in range(1, n):
+                c = [edge.get((t.tag[k], y[t.parent[k]], z), 0) + s for z in (0, 1)]
+                p += math.log(c[y[k]] / sum(c))
+            total += math.exp(p)
+            own = [o + math.exp(p) * z for o, z in zip(own, y)]
+        return [o / total for o in own]
+
+    got = {r.page_id: r for r in H.extract_pages(spark.createDataFrame(list(enumerate(pages_)), "page_id bigint, html string")).collect()}
+    for i, t in enumerate(trees):
+        p, lines = content(t), [[]]
+        for k, x in enumerate(t.text):
+            if x:
+                if t.gap[k]:
+                    lines.append([])
+                if p[k] >= H.LEAST:
+                    lines[-1].append(x)
+        want = [" ".join("".join(x).split()) for x in lines]
+        assert got[i].text == "\n".join(x for x in want if x)
+        sure = [max(p[k], 1 - p[k]) for k, x in enumerate(t.text) if x]
+        assert abs(got[i].confidence - (sum(sure) / len(sure) if sure else 1.0)) < 1e-6

@@ -123,3 +123,45 @@ def test_odd_rows(spark):
     assert {r.lang for r in rows} == {"en", "fr", "", "xx"}
     assert P.perplexity_bands(none(spark)).collect() == []
     assert P.perplexity_bands(table(spark, (1, "aaaa"))).count() == 1  # hardly any counts of counts
+
+
+def brute_judge(rows, width=P.WIDTH, least=P.LEAST_CHARS):
+    """(half-width, keep) by the definition, of rows (lang, n, log p, squares)."""
+    median = lambda x: sorted(x)[math.ceil(len(x) / 2) - 1] if x else None
+    out = []
+    for lang, n, lp, _ in rows:
+        own = [r for r in rows if r[0] == lang]
+        h = lambda r: -r[2] / r[1]
+        some = [r for r in own if r[1]]
+        long, short = [r for r in some if r[1] >= least], [r for r in some if r[1] < least]
+        mid = median([h(r) for r in long]) if long else median([h(r) for r in some])
+        usual = median([r[1] for r in long]) or least
+        tau = sum(max(0.0, r[3] / r[1]) if r[1] else 0.0 for r in own) / len(own)
+        if not n:
+            out.append((None, True))
+            continue
+        var = (1.4826 * (median([abs(h(r) - mid) for r in long]) or 0)) ** 2
+        rate = max((1.4826 * (median([abs(h(r) - mid) * math.sqrt(r[1]) for r in short]) or 0)) ** 2, var * usual)
+        half = width * math.sqrt(max(var + rate * max(0.0, 1 / n - 1 / usual), tau / n))
+        out.append((half, abs(-lp / n - mid) <= half))
+    return out
+
+
+def test_bands_by_the_definition(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for lang, k in (("en", 80), ("fr", 30), ("xx", 3), ("", 1)):
+        for _ in range(k):
+            n = r.choice([0, 5, 40, 150, 200, 600, 3000])
+            h = r.gauss(2.2, 0.1 + 1 / math.sqrt(n + 1)) + r.choice([0, 0, 0, 0, 3, -1.5])
+            rows.append((lang, n, -h * n, r.random() * n))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id bigint, lang string, n_chars bigint, log_p double, squares double")
+    got = {x.doc_id: x for x in P.judge(df).collect()}
+    for i, (half, keep) in enumerate(brute_judge(rows)):
+        assert got[i].keep == keep
+        assert (got[i].upper is None) == (half is None)
+        if half is not None:
+            assert abs(math.log(got[i].upper / got[i].lower) / 2 - half) < 1e-9
+    assert 0 < sum(not x.keep for x in got.values()) < 60
