@@ -238,7 +238,15 @@ def _several(spark: SparkSession, d: str) -> DataFrame:
 register("r_aggregations", _several, f"{_DER}, v as (select n_chars::double as v from h join documents using (doc_id)), e as (select floor(min(v) / 1000)::bigint as lo, greatest(1, ceil((max(v) - floor(min(v) / 1000) * 1000) / 1000)::bigint + 1) as k from v), b as (select lo + unnest(range(k)) as b from e) select 'length' as name, min(v) as low, max(v) as high, count(*) as count from v union all select 'spread', (b.b * 1000)::double, ((b.b + 1) * 1000)::double, count(v.v) from b left join v on floor(v.v / 1000)::bigint = b.b group by b.b")
 register("x_explain", lambda spark, d: H.explain(index(spark, d), T("der", 2.0)).select("doc_id", *(F.round(c, 6).alias(c) for c in ("score", "idf")), F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"), F.round("avgdl", 6).alias("avgdl"), "boost"), f"{_IDX}select doc_id, round(2 * s, 6)::double as score, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6)::double as idf, tf::bigint as tf, dl::bigint as dl, round(a, 6)::double as avgdl, 2.0::double as boost from bm, n where term = 'der'")
 register("x_count", lambda spark, d: _DER_(spark, d).agg(F.count("*").alias("n")), f"{_DER} select count(*) as n from h")
-register("x_highlight", lambda spark, d: H.highlight(R.stored(compile(T("thing"), index(spark, d)), _documents(spark, d), "text"), "text", A.standard_analyser(), Q.terms_of(T("thing"))).select("doc_id", "snippet"))
+_SNIPPETS = f"""with x as (select doc_id, regexp_extract_all(text, '{_WORDS}') as toks, string_split_regex(text, '{_WORDS}') as seps from documents where text ilike '%thing%'),
+y as (select doc_id, unnest(range(len(toks))) as k, unnest(toks) as tok, unnest(seps[1:len(toks)]) as sep from x),
+h as (select doc_id, e - n as s, e from (select doc_id, lower(tok) as term, sum(length(tok) + length(sep)) over (partition by doc_id order by k) as e, length(tok) as n from y) where term = 'thing'),
+w as (select doc_id, text, s, greatest(0, s - 50)::bigint as lo, least(length(text), greatest(0, s - 50) + 200)::bigint as hi from h join documents using (doc_id)),
+c as (select w.doc_id, any_value(text) as text, w.s, lo, hi, count(*) as n from w join h on w.doc_id = h.doc_id and h.s >= lo and h.e <= hi group by w.doc_id, w.s, lo, hi qualify row_number() over (partition by w.doc_id order by count(*) desc, w.s) = 1),
+p as (select doc_id, lo, hi < length(text) as cut, substring(text, lo + 1, hi - lo) as part from c),
+m as (select *, regexp_extract_all(part, '{_WORDS}') as toks, string_split_regex(part, '{_WORDS}') as seps from p)
+select doc_id, (case when lo > 0 then '...' else '' end) || array_to_string(list_transform(toks, lambda t, i: seps[i] || case when lower(t) = 'thing' then '<b>' || t || '</b>' else t end), '') || seps[len(seps)] || (case when cut then '...' else '' end) as snippet from m"""
+register("x_highlight", lambda spark, d: H.highlight(R.stored(compile(T("thing"), index(spark, d)), _documents(spark, d), "text"), "text", A.standard_analyser(), Q.terms_of(T("thing"))).select("doc_id", "snippet"), _SNIPPETS)
 register(
     "x_offsets",
     lambda spark, d: spans(table(spark, d, "documents"), "doc_id", "text", A.standard_analyser()).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws("-", F.lpad(F.col("start").cast("string"), 8, "0"), "term"))), "|")).alias("digest")),

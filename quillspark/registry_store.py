@@ -194,4 +194,10 @@ register(
 register("h_norms", lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(squared_norm(F.col("embedding")), 6).alias("squared"), F.round(squared_norm(normalise(F.col("embedding"))), 4).alias("unit")), "select vec_id, round(list_inner_product(embedding::double[], embedding::double[]), 6)::double as squared, 1.0::double as unit from embeddings")
 register("h_haversine", lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(haversine(F.lit(51.5), F.lit(-0.12), F.pmod(F.col("c_custkey") * 37, F.lit(1800)) / 10.0 - 90, F.pmod(F.col("c_custkey") * 91, F.lit(3600)) / 10.0 - 180), 3).alias("metres")), "select c_custkey, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3)::double as metres from (select c_custkey, pow(sin(radians(lat - 51.5) / 2), 2) + cos(radians(51.5)) * cos(radians(lat)) * pow(sin(radians(lon + 0.12) / 2), 2) as h from (select c_custkey, (c_custkey * 37 % 1800) / 10.0::double - 90 as lat, (c_custkey * 91 % 3600) / 10.0::double - 180 as lon from customer))")
 register("h_geo_codes", lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(decode(encode(F.pmod(F.col("c_custkey") * 37, F.lit(1800)) / 10.0 - 90, 90.0), 90.0), 5).alias("lat"), F.round(decode(encode(F.pmod(F.col("c_custkey") * 91, F.lit(3600)) / 10.0 - 180, 180.0), 180.0), 5).alias("lon")), "select c_custkey, round((c_custkey * 37 % 1800) / 10.0::double - 90, 5)::double as lat, round((c_custkey * 91 % 3600) / 10.0::double - 180, 5)::double as lon from customer")
-register("h_crc32", lambda spark, d: table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")))
+register(
+    "h_crc32",
+    lambda spark, d: table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")),
+    """with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+b as (select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) as bytes from documents)
+select doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::bigint as crc from b, t""",
+)
