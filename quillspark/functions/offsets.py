@@ -56,3 +56,8 @@ def forms(docs: DataFrame, field: str, analyser: Analyser, terms: list[str]) ->
         toks = f(toks)
     hit = x.select("token", toks.alias("toks")).where(F.arrays_overlap("toks", F.array(*map(F.lit, terms))) if terms else F.lit(False))
     return sorted(r.token for r in hit.collect())
+
+
+def unique_at_place(found: DataFrame, key: str) -> DataFrame:
+    """spans() with each term once where it stands; the same term elsewhere stays."""
+    return found.dropDuplicates([key, "start", "term"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis as A
+from .functions import bitmaps
 from .functions.geo import decode, encode, haversine
 from .functions.vectors import normalise, squared_norm
 from .operators import rank as R
@@ -156,6 +157,10 @@ def _last_state(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(at)
 
 
+def _set(spark: SparkSession, d: str, condition) -> DataFrame:
+    return bitmaps.of(table(spark, d, "customer").where(condition).select(F.col("c_custkey").alias("doc_id")))
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     inbox, t = shared_folder(spark), table(spark, d, name)
     t = t.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else c for c, kind in t.dtypes))
@@ -165,7 +170,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _running(spark: SparkSession, d: str) -> DataFrame:
     toks = _read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), A.standard_analyser()(F.col("text")).alias("toks"))
-    return _last_state(running_terms(toks)).select("term", "cf")
+    return _last_state(running_terms(toks)).select("term", "df", "cf")
 
 
 register("s_json", lambda spark, d: json_fields.parse(table(spark, d, "events").select("event_id", "props"), "props", "k int").select("event_id", F.get("k", F.lit(0)).alias("k")), "select event_id, json_extract(props, '$.k')::double as k from events")
@@ -185,12 +190,18 @@ register("l_migrate", _migrate, _scores("true"))
 register("n_upsert", _upsert, "select p_partkey::bigint as doc_id, case when p_size > 25 then 'new ' || p_name else p_name end as p_name from part")
 register("n_manager", _manager, _scores("true"))
 register("n_ingest", _stream, _scores("true"))
-register("n_running_terms", _running, "select term, count(*) as cf from (select unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda x: x not in (" + ", ".join(f"'{w}'" for w in sorted(A.STOP_WORDS["en"])) + "))) as term from conversations) group by term")
+register("n_running_terms", _running, "select term, count(distinct doc) as df, count(*) as cf from (select conv_id || '-' || turn as doc, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda x: x not in (" + ", ".join(f"'{w}'" for w in sorted(A.STOP_WORDS["en"])) + "))) as term from conversations) group by term")
 register(
     "n_windowed_facets",
     lambda spark, d: _last_state(windowed_facets(_read(spark, d, "events"), "event_type")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "value", "count"),
     "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type as value, count(*) as count from events group by all",
 )
+register(
+    "h_bitmaps",
+    lambda spark, d: bitmaps.members(bitmaps.minus(bitmaps.both(_set(spark, d, F.col("c_acctbal") > 0), _set(spark, d, F.col("c_nationkey") < 12)), _set(spark, d, F.col("c_mktsegment") == "BUILDING"))),
+    "select c_custkey as doc_id from customer where c_acctbal > 0 and c_nationkey < 12 and c_mktsegment <> 'BUILDING'",
+)
+register("h_bitmap_count", lambda spark, d: bitmaps.count(bitmaps.either(_set(spark, d, F.col("c_acctbal") > 0), _set(spark, d, F.col("c_nationkey") < 12))), "select count(*) as n from customer where c_acctbal > 0 or c_nationkey < 12")
 register("h_norms", lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(squared_norm(F.col("embedding")), 6).alias("squared"), F.round(squared_norm(normalise(F.col("embedding"))), 4).alias("unit")), "select vec_id, round(list_inner_product(embedding::double[], embedding::double[]), 6)::double as squared, 1.0::double as unit from embeddings")
 register("h_haversine", lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(haversine(F.lit(51.5), F.lit(-0.12), F.pmod(F.col("c_custkey") * 37, F.lit(1800)) / 10.0 - 90, F.pmod(F.col("c_custkey") * 91, F.lit(3600)) / 10.0 - 180), 3).alias("metres")), "select c_custkey, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3)::double as metres from (select c_custkey, pow(sin(radians(lat - 51.5) / 2), 2) + cos(radians(51.5)) * cos(radians(lat)) * pow(sin(radians(lon + 0.12) / 2), 2) as h from (select c_custkey, (c_custkey * 37 % 1800) / 10.0::double - 90 as lat, (c_custkey * 91 % 3600) / 10.0::double - 180 as lon from customer))")
 register("h_geo_codes", lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(decode(encode(F.pmod(F.col("c_custkey") * 37, F.lit(1800)) / 10.0 - 90, 90.0), 90.0), 5).alias("lat"), F.round(decode(encode(F.pmod(F.col("c_custkey") * 91, F.lit(3600)) / 10.0 - 180, 180.0), 180.0), 5).alias("lon")), "select c_custkey, round((c_custkey * 37 % 1800) / 10.0::double - 90, 5)::double as lat, round((c_custkey * 91 % 3600) / 10.0::double - 180, 5)::double as lon from customer")

@@ -319,6 +319,10 @@ class Store:
         """Without the documents that a query matches. Statistics count the living only."""
         return self._change("delete", gone=compile(query, self.index(), False))
 
+    def remove(self, ids: DataFrame) -> int:
+        """Without the documents of a table of ids (doc_id); others in it don't count."""
+        return self._change("delete", gone=ids)
+
     def update(self, field: str, term: str, docs: DataFrame) -> int:
         """Without the documents that have a term, with docs; the new ones aren't looked at."""
         return self._change("update", docs, compile(Term(field, term), self.index(), False))

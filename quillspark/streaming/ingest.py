@@ -36,9 +36,11 @@ def ingest(documents: DataFrame, store: Store, checkpoint: str, **trigger) -> St
 
 
 def running_terms(tokens: DataFrame) -> DataFrame:
-    """(term, df, cf) of a stream of (doc_id, toks), kept up incrementally (update mode)."""
-    x = tokens.select("doc_id", F.explode("toks").alias("term")).groupBy("term")
-    return x.agg(F.approx_count_distinct("doc_id").alias("df"), F.count("*").alias("cf"))
+    """(term, df, cf) of a stream of (doc_id, toks), a row for each document, kept up
+    incrementally (update mode). Exact: of a document's tokens, sorted, the first of each term counts for df."""
+    x = tokens.select("doc_id", F.sort_array("toks").alias("toks")).select("toks", F.posexplode("toks").alias("at", "term"))
+    first = (F.col("at") == 0) | (F.get("toks", F.col("at") - 1) != F.col("term"))
+    return x.groupBy("term").agg(F.sum(first.cast("bigint")).alias("df"), F.count("*").alias("cf"))
 
 
 def windowed_facets(events: DataFrame, field: str, width: str = "1 hour", late: str = "2 hours", time: str = "ts") -> DataFrame:
