@@ -38,7 +38,8 @@ CACHE = 10.0
 #: Bytes of a shard of the model, about; and of one entry.
 SHARD_BYTES, _ENTRY = 128 << 20, 12
 BOS = "\x02"
-_COUNT_BYTES = 3 << 20
+#: Text handled at once where n-grams are counted, and where they're scored beside a shard.
+_COUNT_BYTES, _SCORE_BYTES = 3 << 20, 1 << 20
 #: Entries of a table of ranks, beyond which codes are sorted; counts that a task holds.
 _TABLE, _HELD = 1 << 25, 1 << 20
 
@@ -217,7 +218,7 @@ class Arrays:
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Arrays:
         o = np.argsort(keys)
         keys = keys[o]
-        bits = max(1, min(22, int(len(keys)).bit_length() + 1))
+        bits = max(1, min(22, int(len(keys)).bit_length()))
         starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
         return cls(keys, values[o], starts, 64 - bits)
 
@@ -349,7 +350,7 @@ def _scorer(shared, k: int, shards: int, order: int, cache: float):
         for batch in batches:
             lang = batch.column(1).to_pylist()
             buf, offs = text_buffers(batch.column(3), lower=False)
-            for i, j, part, at in slices(buf, offs, _COUNT_BYTES):
+            for i, j, part, at in slices(buf, offs, _SCORE_BYTES):
                 chars, place, ends = _characters(part, at, order)
                 for x in set(lang[i:j]) - seeds.keys():
                     seeds[x] = seed_of(x)
