@@ -17,9 +17,18 @@
 
 Trees alone can't choose the subtrees: unlike texts share enough n-grams for the OR
 of a few hundred of them to meet any other's, so that their upper levels prune
-nothing and cost N^2. The keys are the one approximate step: at Jaccard j two
-contents meet with probability 1 - (1 - j^2)^bands (0.997 at 0.5, 0.9998 at 0.6, with 20
-bands). Verification is exact on 32-bit n-gram hashes.
+nothing and cost N^2. The keys miss some pairs: at Jaccard j two contents meet with
+probability 1 - (1 - j^2)^bands (0.997 at 0.5). They only make the bulk cheap; the rest
+is found exactly:
+
+5. Contents of one component of the links so far form a subtree of their own.
+6. Contents of two components meet by prefixes of their sets in one order of all
+   n-grams, rarest first. Of a pair at the threshold each one's first
+   |x| - ceil(t|x|) + k n-grams hold k common ones at least; n-grams of later places
+   than such a pair allows don't count. What a sample of the texts tells of
+   frequencies only makes the order: any order finds the same pairs.
+
+Verification is exact on 32-bit n-gram hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +45,10 @@ from .common import drop_rows, grams, materialize, mix, sized_broadcast, slices,
 from .graph import components
 
 N, THRESHOLD, BANDS, BLOCK = 3, 0.5, 20, 1024
+#: Texts whose n-grams are counted to order n-grams; n-grams ordered by count; labels sent to tasks. They change cost only.
+ORDER_TEXTS, ORDER_GRAMS, LABELS = 1 << 16, 1 << 20, 1 << 22
+#: Prefix entries of a task, about; pairs made at once.
+_ENTRIES, _PAIRS = 1 << 20, 1 << 21
 _LEAF, _FAN = 16, 8
 
 _rng = np.random.default_rng(20240229)
@@ -59,6 +72,10 @@ def _band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _cid(s: np.ndarray) -> int:
+    return int.from_bytes(_digest(s)[:8], "little", signed=True)
+
+
 def _sketcher(n: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,19 +90,21 @@ def _sketcher(n: int, bands: int):
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
                         pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_cid(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array(size),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((size > 0) * bands)], pa.int32()), pa.array(keys)),
                     ],
-                    ["doc_id", "h", "content", "keys"],
+                    ["doc_id", "h", "content", "cid", "size", "keys"],
                 )
 
     return run
 
 
 def sketches(docs: DataFrame, n: int = N, bands: int = BANDS) -> DataFrame:
-    """(doc_id, h, content, keys) of each row of docs with a doc_id: h is the text's
-    64-bit hash; content the digest of its set, null if it has no word."""
+    """(doc_id, h, content, cid, size, keys) of each row of docs with a doc_id: h is the text's
+    64-bit hash; content the digest of its set, null if it has no word; cid its first 8 bytes."""
     x = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return x.mapInArrow(_sketcher(n, bands), "doc_id bigint, h bigint, content binary, keys array<bigint>")
+    return x.mapInArrow(_sketcher(n, bands), "doc_id bigint, h bigint, content binary, cid bigint, size int, keys array<bigint>")
 
 
 def _setter(n: int):
@@ -246,6 +265,204 @@ def _joiner(threshold: float):
     return run
 
 
+# --- the pairs that no key brings together
+
+
+_ENTRY = np.dtype([("gram", "<u4"), ("cid", "<i8"), ("place", "<u2"), ("size", "<u2")])
+_MANY = 65535  # a size that isn't told: no bound holds it back
+
+
+def _by_part(parts: int, part: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (part, bytes of its rows)."""
+    o = np.argsort(part, kind="stable")
+    rows, ends = rows[o], np.cumsum(np.bincount(part, minlength=parts))
+    some = np.flatnonzero(np.diff(np.r_[0, ends]))
+    starts = np.r_[0, ends][some]
+    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends[some].tolist())], pa.binary())], ["part", "rows"])
+
+
+def _of_parts(make):
+    """Batches sorted by part, as _by_part() makes them: make(bytes) of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != last and held:
+                    yield from make(b"".join(held))
+                    held = []
+                last = part
+                held.append(rows)
+        if held:
+            yield from make(b"".join(held))
+
+    return run
+
+
+def _in_parts(rows: DataFrame, parts: int, make, schema: str) -> DataFrame:
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_of_parts(make), schema)
+
+
+def gram_order(docs: DataFrame, n: int, texts: int, most: int = ORDER_TEXTS, grams_kept: int = ORDER_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted n-grams, class of frequency) of those that about `most` of the texts often hold."""
+    parts = docs.sparkSession.sparkContext.defaultParallelism * 2
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(0))
+            flat = [s for _, _, part, at in slices(buf, offs) for s in grams(*words(part, at), n) if len(s)]
+            if flat:
+                g = np.concatenate(flat)
+                yield from _by_part(parts, (g % np.uint64(parts)).astype(np.int64), g)
+
+    def count(raw: bytes) -> Iterator[pa.RecordBatch]:
+        g, c = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+        yield pa.record_batch([pa.array(g[c > 1].view(np.int64)), pa.array(c[c > 1])], ["gram", "c"])
+
+    h = F.xxhash64("text", F.lit(3))
+    x = docs.where("text is not null").where(F.pmod(h, F.lit(max(1, texts // most))) == 0).select("text").distinct()
+    got = _in_parts(x.mapInArrow(take, "part int, rows binary"), parts, count, "gram bigint, c bigint")
+    got = got.orderBy(F.desc("c"), "gram").limit(grams_kept).toArrow()
+    key, c = np.asarray(got["gram"]).view(np.uint64), np.asarray(got["c"])
+    o = np.argsort(key)
+    return key[o], np.minimum(63, 1 + 2 * np.log2(np.maximum(c[o], 1))).astype(np.uint8)
+
+
+def _least(size: np.ndarray) -> np.ndarray:
+    """How many common n-grams the prefixes of a link hold, if the smaller set has this size."""
+    return np.where(size == _MANY, 1, 1 + size // 16)
+
+
+def prefixes(sets: list[np.ndarray], often: np.ndarray, kind: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, entries but for their n-gram) of the prefixes of sorted, non-empty sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    rank = np.zeros(len(flat), np.uint64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+        rank = np.where(often[at] == flat, kind[at], 0).astype(np.uint64)
+    # alike in all sets: by class, then by n-gram, as a stable sort leaves the order of what it can't tell apart
+    o = np.argsort(row.astype(np.uint64) << np.uint64(44) | rank << np.uint64(38) | flat >> np.uint64(26), kind="stable")
+    start = np.cumsum(size) - size
+    place = np.arange(len(flat)) - start[row]
+    told = np.where(size < _MANY, size, _MANY)
+    length = np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 + size // 16)
+    pick = np.flatnonzero(place < length[row])
+    out = np.empty(len(pick), _ENTRY)
+    cid = np.array([_cid(s) for s in sets], np.int64)
+    owner = row[pick]
+    out["cid"], out["size"], out["place"] = cid[owner], told[owner], np.minimum(place[pick], _MANY)
+    return flat[o[pick]], out
+
+
+def _prefixer(n: int, shared, threshold: float, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, kind = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            g, rows = (np.concatenate(x) for x in zip(*held))
+            rows["gram"] = (g >> np.uint64(32)).astype(np.uint32)
+            yield from _by_part(parts, ((g & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64), rows)
+            held.clear()
+
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(0))
+            for _, _, part, at in slices(buf, offs):
+                sets = [s for s in grams(*words(part, at), n) if len(s)]
+                if sets:
+                    held.append(prefixes(sets, often, kind, threshold))
+                    if sum(len(x[0]) for x in held) > 2 * _ENTRIES:
+                        yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def meetings(x: np.ndarray, threshold: float, labels: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, n, least): pairs of contents with different labels among entries, a < b, how many
+    n-grams they share that a link may, and how many a link must in all parts. A pair may come more than once."""
+    x = x[np.argsort(x["gram"], kind="stable")]
+    same = x["gram"][1:] == x["gram"][:-1]
+    x = x[np.r_[False, same] | np.r_[same, False]]
+    x = x[np.lexsort((x["cid"], x["gram"]))]
+    x = x[np.r_[True, (x["gram"][1:] != x["gram"][:-1]) | (x["cid"][1:] != x["cid"][:-1])][: len(x)]]  # copies
+    if not len(x):
+        return
+    ids, own = np.unique(x["cid"], return_inverse=True)
+    label, (known, roots) = ids.copy(), labels
+    if len(known):
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        label = np.where(known[at] == ids, roots[at], ids)
+    label = label[own]
+    size, place = x["size"].astype(np.int64), x["place"].astype(np.int64)
+    ends = np.r_[np.flatnonzero(x["gram"][1:] != x["gram"][:-1]) + 1, len(x)]
+    later = np.repeat(ends, np.diff(np.r_[0, ends])) - 1 - np.arange(len(x))
+    before, i = np.r_[0, np.cumsum(later)], 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + _PAIRS, "right")) - 1)
+        a = np.repeat(np.arange(i, j), later[i:j])
+        b = a + 1 + np.arange(len(a)) - (before[a] - before[i])
+        ok = label[a] != label[b]
+        a, b = a[ok], b[ok]
+        least = np.minimum(_least(size[a]), _least(size[b]))
+        need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
+        ok = np.minimum(size[a] - place[a], size[b] - place[b]) >= need - least + 1
+        ok &= np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+        ok |= (size[a] == _MANY) | (size[b] == _MANY)
+        pair, first, times = np.unique(own[a[ok]] * np.int64(len(ids)) + own[b[ok]], return_index=True, return_counts=True)
+        if len(pair):
+            yield ids[pair // len(ids)], ids[pair % len(ids)], times, least[ok][first]
+        i = j
+
+
+def _meeter(threshold: float, shared):
+    def make(raw: bytes) -> Iterator[pa.RecordBatch]:
+        for columns in meetings(np.frombuffer(raw, _ENTRY), threshold, shared.value):
+            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "n", "least"])
+
+    return make
+
+
+def apart(docs: DataFrame, sizes: tuple[int, int], labels: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(a, b): pairs of contents, by cid, that may be links although their labels (cid, label) differ,
+    no label being one of its own; every link is among them. sizes: the texts and all their n-grams."""
+    sc, (texts, total) = docs.sparkSession.sparkContext, sizes
+    order = sc.broadcast(gram_order(docs, n, texts))
+    few = labels.limit(LABELS + 1).count() <= LABELS
+    known = (labels if few else labels.limit(0)).orderBy("cid").toArrow()
+    told = sc.broadcast((np.asarray(known["cid"]).astype(np.int64), np.asarray(known["label"]).astype(np.int64)))
+    parts = max(sc.defaultParallelism, int(total * (1 - threshold + 1 / 16)) // _ENTRIES + 1)
+    entries = docs.where("text is not null").select("text").mapInArrow(_prefixer(n, order, threshold, parts), "part int, rows binary")
+    pairs = _in_parts(entries, parts, _meeter(threshold, told), "a bigint, b bigint, n bigint, least bigint")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    for side in () if few else ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("cid").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    if not few:
+        pairs = pairs.where("not coalesce(label_a = label_b, false)").select("a", "b")
+    return materialize(pairs)
+
+
+def _verify(docs: DataFrame, kinds: DataFrame, shared: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(a, b, links) of the contents in the subtrees shared (content, shared), as _joiner() finds them."""
+    chosen = materialize(shared.join(kinds, "content").select(F.col("at.doc_id").alias("chosen_id"), F.col("at.h").alias("chosen_h"), "content", "keys", "copies", "shared"))
+    x = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    x = x.join(sized_broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("h") == F.col("chosen_h")))
+    kept = "content binary, keys array<bigint>, copies bigint, shared array<struct<band:int,key:bigint,blocks:int>>"
+    x = x.select("text", "content", "keys", "copies", "shared").mapInArrow(_setter(n), f"grams binary, {kept}")
+    x = x.select("content", "keys", "grams", "copies", F.inline("shared")).withColumn("own", F.pmod(F.xxhash64("content", F.lit(2)), "blocks").cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "keys", "grams", "copies")
+    group = ["key", "band", "lo", "hi"]
+    return materialize(x.repartition(*group).sortWithinPartitions(*group).mapInArrow(_joiner(threshold), "a binary, b binary, links bigint"))
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    """(content, root): the components of links found."""
+    return components(found.select(F.hex("a").alias("a"), F.hex("b").alias("b"))).select(F.unhex("node").alias("content"), F.unhex("root").alias("root"))
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, groups). rows: (doc_id, h, content), one for each doc_id and text.
     groups: (content, root, links, copies) of the contents of more than one document
@@ -253,23 +470,26 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int
     other contents, and its own documents."""
     sk = materialize(sketches(docs, n, bands))
     some = sk.where("content is not null")
-    kinds = materialize(some.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.countDistinct("doc_id", "h").alias("copies"), F.first("keys").alias("keys")))
+    first = [F.first(c).alias(c) for c in ("cid", "size", "keys")]
+    kinds = materialize(some.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.countDistinct("doc_id", "h").alias("copies"), *first))
     keyed = kinds.select("content", F.posexplode("keys").alias("band", "key"))
     members = [F.bit_xor(F.xxhash64("content", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
     meet = keyed.groupBy("key", "band").agg(F.count("*").alias("c"), *members).where("c > 1")
     meet = meet.groupBy("c", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("x")).select("x.key", "x.band", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     shared = keyed.join(meet, ["key", "band"]).groupBy("content").agg(F.collect_list(F.struct("band", "key", "blocks")).alias("shared"))
-    chosen = materialize(shared.join(kinds, "content").select(F.col("at.doc_id").alias("chosen_id"), F.col("at.h").alias("chosen_h"), "content", "keys", "copies", "shared"))
-    x = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    x = x.join(sized_broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("h") == F.col("chosen_h")))
-    kept = "content binary, keys array<bigint>, copies bigint, shared array<struct<band:int,key:bigint,blocks:int>>"
-    x = x.select("text", "content", "keys", "copies", "shared").mapInArrow(_setter(n), f"grams binary, {kept}")
-    x = x.select("content", "keys", "grams", "copies", F.inline("shared")).withColumn("own", F.pmod(F.xxhash64("content", F.lit(2)), "blocks").cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "keys", "grams", "copies")
-    group = ["key", "band", "lo", "hi"]
-    found = materialize(x.repartition(*group).sortWithinPartitions(*group).mapInArrow(_joiner(threshold), "a binary, b binary, links bigint"))
-    roots = components(found.select(F.hex("a").alias("a"), F.hex("b").alias("b"))).select(F.unhex("node").alias("content"), F.unhex("root").alias("root"))
+    met = _verify(docs, kinds, shared, threshold, n)
+    # the rest: no pair with a key in common, as band is beyond all
+    label = materialize(_roots(met).withColumn("label", F.xxhash64("root")))
+    subtree = lambda key, blocks: F.struct(F.lit(bands).alias("band"), key.alias("key"), blocks.cast("int").alias("blocks"))
+    count = label.groupBy("label").agg(F.count("*").alias("c"))
+    inside = label.join(count, "label").select("content", subtree(F.col("label"), F.ceil(F.col("c") / block)).alias("x"))
+    sizes = kinds.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    pairs = apart(docs.where("doc_id is not null"), tuple(sizes), materialize(label.join(kinds, "content").select("cid", "label")), threshold, n)
+    pairs = pairs.select(F.explode(F.array("a", "b")).alias("cid"), subtree(F.xxhash64("a", "b"), F.lit(1)).alias("x"))
+    outside = pairs.join(kinds.select("cid", "content"), "cid").select("content", "x")
+    rest = _verify(docs, kinds, inside.union(outside).groupBy("content").agg(F.collect_list("x").alias("shared")), threshold, n)
+    found = met.union(rest)
+    roots = _roots(found)
     links = found.groupBy(F.col("a").alias("content")).agg(F.sum("links").alias("links"))
     copied = kinds.select("content", "copies").where("copies > 1")
     groups = links.join(roots, "content").join(copied, "content", "full")

@@ -126,3 +126,38 @@ def test_components(spark):
     chain = [(str(i).zfill(3), str(i + 1).zfill(3)) for i in range(40)] + [("900", "901"), ("901", "901"), (None, "1")]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a string, b string")).collect()}
     assert all(got[str(i).zfill(3)] == "000" for i in range(41)) and got["901"] == "900" and len(got) == 43
+
+
+def test_links_that_no_key_brings_together(spark):
+    """With one band most pairs near the threshold share no key: within a component of the others, and between."""
+    rows = corpus()
+    for i in range(30):  # at the threshold, or hardly above
+        w = prose(500 + i, 60).split()
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join(w[: 41 + i % 3] + [f"x{i}y{k}" for k in range(19 - i % 3)]))]
+    want = brute(rows)
+    assert sum(v < 0.55 for v in want.values()) > 20
+    assert rows_of(J.near_duplicates(table(spark, *rows), bands=1, block=4)) == classes(want, [i for i, _ in rows])
+
+
+def test_prefixes_lose_no_pair():
+    """In any order of n-grams, and with hot ones."""
+    r = random.Random(3)
+    hot = [r.getrandbits(64) for _ in range(30)]
+    sets = []
+    for _ in range(40):
+        base = [r.getrandbits(64) for _ in range(r.choice([1, 2, 7, 40, 90]))] + r.sample(hot, r.choice([0, 5, 30]))
+        for _ in range(4):
+            sets.append(np.unique(np.array(r.sample(base, r.randint((len(base) + 1) // 2, len(base))) + [r.getrandbits(64) for _ in range(r.randint(0, 3))], np.uint64)))
+    py = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i in range(len(py)) for j in range(len(py)) if py[i] != py[j] and J._cid(sets[i]) < J._cid(sets[j]) and len(py[i] & py[j]) >= 0.5 * len(py[i] | py[j])}
+    want = {(J._cid(sets[i]), J._cid(sets[j])) for i, j in want}
+    nothing = np.zeros(0, np.int64)
+    for often in (np.zeros(0, np.uint64), np.sort(np.array(hot, np.uint64)), np.sort(np.array([r.choice(list(p)) for p in py], np.uint64))):
+        g, x = J.prefixes(sets, often, np.array([r.randrange(64) for _ in often], np.uint8), 0.5)
+        x["gram"] = g >> np.uint64(32)
+        seen = {}
+        for a, b, n, least in J.meetings(x, 0.5, (nothing, nothing)):
+            for p, q, k, m in zip(a.tolist(), b.tolist(), n.tolist(), least.tolist()):
+                seen[p, q] = seen.get((p, q), -m) + k
+        assert want and want <= {p for p, k in seen.items() if k >= 0}
+        assert len(seen) < len(sets) ** 2 / 4
