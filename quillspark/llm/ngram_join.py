@@ -47,8 +47,8 @@ from .graph import components
 N, THRESHOLD, BANDS, BLOCK = 3, 0.5, 20, 1024
 #: Texts whose n-grams are counted to order n-grams; n-grams ordered by count; labels sent to tasks. They change cost only.
 ORDER_TEXTS, ORDER_GRAMS, LABELS = 1 << 16, 1 << 20, 1 << 22
-#: Prefix entries of a task, about; pairs made at once.
-_ENTRIES, _PAIRS = 1 << 20, 1 << 21
+#: Prefix entries of a part, about; those that a task holds before it passes them on, and as many for each part; pairs made at once.
+_ENTRIES, _HELD, _EACH, _PAIRS = 1 << 20, 1 << 18, 64, 1 << 20
 _LEAF, _FAN = 16, 8
 
 _rng = np.random.default_rng(20240229)
@@ -281,6 +281,20 @@ def _by_part(parts: int, part: np.ndarray, rows: np.ndarray) -> Iterator[pa.Reco
     yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends[some].tolist())], pa.binary())], ["part", "rows"])
 
 
+def _in_batches(pieces: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """_by_part() of pieces (part, rows), a few at once: what a task holds doesn't grow with its input."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= max(_HELD, _EACH * parts):
+            part, rows = (np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+            yield from _by_part(parts, part, rows)
+    if n:
+        yield from _by_part(parts, *(np.concatenate(x) for x in zip(*held)))
+
+
 def _of_parts(make):
     """Batches sorted by part, as _by_part() makes them: make(bytes) of each part."""
 
@@ -307,13 +321,17 @@ def gram_order(docs: DataFrame, n: int, texts: int, most: int = ORDER_TEXTS, gra
     """(sorted n-grams, class of frequency) of those that about `most` of the texts often hold."""
     parts = docs.sparkSession.sparkContext.defaultParallelism * 2
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             buf, offs = text_buffers(batch.column(0))
-            flat = [s for _, _, part, at in slices(buf, offs) for s in grams(*words(part, at), n) if len(s)]
-            if flat:
-                g = np.concatenate(flat)
-                yield from _by_part(parts, (g % np.uint64(parts)).astype(np.int64), g)
+            for _, _, part, at in slices(buf, offs):
+                flat = [s for s in grams(*words(part, at), n) if len(s)]
+                if flat:
+                    g = np.concatenate(flat)
+                    yield (g % np.uint64(parts)).astype(np.int32), g
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(pieces(batches), parts)
 
     def count(raw: bytes) -> Iterator[pa.RecordBatch]:
         g, c = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
@@ -356,26 +374,19 @@ def prefixes(sets: list[np.ndarray], often: np.ndarray, kind: np.ndarray, thresh
 
 
 def _prefixer(n: int, shared, threshold: float, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         often, kind = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            g, rows = (np.concatenate(x) for x in zip(*held))
-            rows["gram"] = (g >> np.uint64(32)).astype(np.uint32)
-            yield from _by_part(parts, ((g & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64), rows)
-            held.clear()
-
         for batch in batches:
             buf, offs = text_buffers(batch.column(0))
             for _, _, part, at in slices(buf, offs):
                 sets = [s for s in grams(*words(part, at), n) if len(s)]
                 if sets:
-                    held.append(prefixes(sets, often, kind, threshold))
-                    if sum(len(x[0]) for x in held) > 2 * _ENTRIES:
-                        yield from flush()
-        if held:
-            yield from flush()
+                    g, rows = prefixes(sets, often, kind, threshold)
+                    rows["gram"] = (g >> np.uint64(32)).astype(np.uint32)
+                    yield ((g & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32), rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(pieces(batches), parts)
 
     return run
 
@@ -395,15 +406,16 @@ def meetings(x: np.ndarray, threshold: float, labels: tuple[np.ndarray, np.ndarr
     if len(known):
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
         label = np.where(known[at] == ids, roots[at], ids)
-    label = label[own]
-    size, place = x["size"].astype(np.int64), x["place"].astype(np.int64)
+    label = np.unique(label, return_inverse=True)[1].astype(np.int32)[own]
+    own, size, place = own.astype(np.int32), x["size"].astype(np.int32), x["place"].astype(np.int32)
     ends = np.r_[np.flatnonzero(x["gram"][1:] != x["gram"][:-1]) + 1, len(x)]
     later = np.repeat(ends, np.diff(np.r_[0, ends])) - 1 - np.arange(len(x))
     before, i = np.r_[0, np.cumsum(later)], 0
     while i < len(x):
         j = max(i + 1, int(np.searchsorted(before, before[i] + _PAIRS, "right")) - 1)
-        a = np.repeat(np.arange(i, j), later[i:j])
-        b = a + 1 + np.arange(len(a)) - (before[a] - before[i])
+        a = np.repeat(np.arange(i, j, dtype=np.int32), later[i:j])
+        b = np.arange(1, len(a) + 1) - np.repeat(before[i:j] - before[i], later[i:j])
+        b += a
         ok = label[a] != label[b]
         a, b = a[ok], b[ok]
         least = np.minimum(_least(size[a]), _least(size[b]))

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from odd import none, odd, prose, table
 
 from quillspark.llm import ngram_join as J
@@ -161,3 +164,21 @@ def test_prefixes_lose_no_pair():
                 seen[p, q] = seen.get((p, q), -m) + k
         assert want and want <= {p for p, k in seen.items() if k >= 0}
         assert len(seen) < len(sets) ** 2 / 4
+
+
+def test_a_task_holds_few_prefixes():
+    """One batch of a million prefix entries and more goes on in small parts, without a large temporary."""
+    words_of = np.random.default_rng(5).integers(1 << 20, 1 << 24, (6000, 400))
+    batch = pa.record_batch([pa.array([" ".join(map(hex, x)) for x in words_of.tolist()])], ["text"])
+    run = J._prefixer(3, SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.uint8))), 0.5, 57)
+    seen = 0
+    list(run(iter([batch.slice(0, 1)])))  # tables of powers
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            seen += sum(map(len, out.column(1).to_pylist())) // J._ENTRY.itemsize
+            assert out.nbytes < 8 << 20
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    assert seen == 6000 * (398 - 199 + 1 + 398 // 16)
