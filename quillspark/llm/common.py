@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..session import shared_folder as shared_dir
 SLICE_BYTES = 1 << 20
 #: A side is broadcast only if the bytes of its rows, as measured, stay under this.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch that goes to Python, under small_batches().
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +44,22 @@ def release(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Queries run meanwhile pass Arrow batches of at most so many bytes, or one row, to
+    Python. By default it's a number of rows, whatever their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, had)
+
+
 def written() -> int:
     """How many tables have been written, to be told to settle()."""
     return len(_written)

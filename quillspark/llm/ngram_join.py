@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, grams, materialize, mix, sized_broadcast, slices, text_buffers, words
+from .common import drop_rows, grams, materialize, mix, sized_broadcast, slices, small_batches, text_buffers, words
 from .graph import components
 
 N, THRESHOLD, BANDS, BLOCK = 3, 0.5, 20, 1024
@@ -50,6 +50,8 @@ ORDER_TEXTS, ORDER_GRAMS, LABELS = 1 << 16, 1 << 20, 1 << 22
 #: Prefix entries of a part, about; those that a task holds before it passes them on, and as many for each part; pairs made at once.
 _ENTRIES, _HELD, _EACH, _PAIRS = 1 << 20, 1 << 18, 64, 1 << 20
 _LEAF, _FAN = 16, 8
+#: Bitmaps that are compared at once.
+_BITMAP_BYTES = 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -148,14 +150,14 @@ class Tree:
         """Whether nodes a, and nodes b of another tree, may hold a pair of at least the threshold."""
         bits, least, most, hidden = self.levels[level]
         bits2, least2, most2, hidden2 = other.levels[at]
-        ok = np.empty(len(a), bool)
-        for s in range(0, len(a), 8192):
-            x, y = a[s : s + 8192], b[s : s + 8192]
+        ok, some = np.empty(len(a), bool), max(1, _BITMAP_BYTES // (8 * bits.shape[1]))
+        for s in range(0, len(a), some):
+            x, y = a[s : s + some], b[s : s + some]
             common = np.bitwise_count(bits[x] & bits2[y]).sum(1).astype(np.int64) + np.minimum(hidden[x], hidden2[y])
             common = np.minimum(common, np.minimum(most[x], most2[y]))
             # of any two sets in reach: overlap >= t / (1 + t) * (sum of sizes); a smaller one of size >= t times the larger
             need = threshold / (1 + threshold) * (least[x] + least2[y])
-            ok[s : s + 8192] = (common >= need - 1e-9) & (most[x] >= threshold * least2[y] - 1e-9) & (most2[y] >= threshold * least[x] - 1e-9)
+            ok[s : s + some] = (common >= need - 1e-9) & (most[x] >= threshold * least2[y] - 1e-9) & (most2[y] >= threshold * least[x] - 1e-9)
         return ok
 
 
@@ -296,30 +298,37 @@ def _in_batches(pieces: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) ->
 
 
 def _of_parts(make):
-    """Batches sorted by part, as _by_part() makes them: make(bytes) of each part."""
+    """Batches in which a part's rows, as _by_part() makes them, come one after another: make(bytes) of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
+
+        def whole() -> bytes:
+            raw = b"".join(held)
+            held.clear()
+            return raw
+
         for batch in batches:
-            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if part != last and held:
-                    yield from make(b"".join(held))
-                    held = []
+                    yield from make(whole())
                 last = part
-                held.append(rows)
+                held.append(rows.as_buffer())
         if held:
-            yield from make(b"".join(held))
+            yield from make(whole())
 
     return run
 
 
 def _in_parts(rows: DataFrame, parts: int, make, schema: str) -> DataFrame:
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_of_parts(make), schema)
+    """A part is a task: hashed to tasks, several would come to one."""
+    return rows.repartitionById(parts, "part").mapInArrow(_of_parts(make), schema)
 
 
-def gram_order(docs: DataFrame, n: int, texts: int, most: int = ORDER_TEXTS, grams_kept: int = ORDER_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted n-grams, class of frequency) of those that about `most` of the texts often hold."""
-    parts = docs.sparkSession.sparkContext.defaultParallelism * 2
+def gram_order(docs: DataFrame, n: int, sizes: tuple[int, int], most: int = ORDER_TEXTS, grams_kept: int = ORDER_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted n-grams, class of frequency) of those that about `most` of the texts often hold. sizes: the texts and all their n-grams."""
+    each = max(1, sizes[0] // most)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism * 2, sizes[1] // each // _ENTRIES + 1)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -338,7 +347,7 @@ def gram_order(docs: DataFrame, n: int, texts: int, most: int = ORDER_TEXTS, gra
         yield pa.record_batch([pa.array(g[c > 1].view(np.int64)), pa.array(c[c > 1])], ["gram", "c"])
 
     h = F.xxhash64("text", F.lit(3))
-    x = docs.where("text is not null").where(F.pmod(h, F.lit(max(1, texts // most))) == 0).select("text").distinct()
+    x = docs.where("text is not null").where(F.pmod(h, F.lit(each)) == 0).select("text").distinct()
     got = _in_parts(x.mapInArrow(take, "part int, rows binary"), parts, count, "gram bigint, c bigint")
     got = got.orderBy(F.desc("c"), "gram").limit(grams_kept).toArrow()
     key, c = np.asarray(got["gram"]).view(np.uint64), np.asarray(got["c"])
@@ -440,8 +449,8 @@ def _meeter(threshold: float, shared):
 def apart(docs: DataFrame, sizes: tuple[int, int], labels: DataFrame, threshold: float, n: int) -> DataFrame:
     """(a, b): pairs of contents, by cid, that may be links although their labels (cid, label) differ,
     no label being one of its own; every link is among them. sizes: the texts and all their n-grams."""
-    sc, (texts, total) = docs.sparkSession.sparkContext, sizes
-    order = sc.broadcast(gram_order(docs, n, texts))
+    sc, total = docs.sparkSession.sparkContext, sizes[1]
+    order = sc.broadcast(gram_order(docs, n, sizes))
     few = labels.limit(LABELS + 1).count() <= LABELS
     known = (labels if few else labels.limit(0)).orderBy("cid").toArrow()
     told = sc.broadcast((np.asarray(known["cid"]).astype(np.int64), np.asarray(known["label"]).astype(np.int64)))
@@ -480,6 +489,11 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int
     groups: (content, root, links, copies) of the contents of more than one document
     and of those with links: the least content of the group, the documents linked with it through
     other contents, and its own documents."""
+    with small_batches(docs.sparkSession):
+        return _linked(docs, threshold, n, bands, block)
+
+
+def _linked(docs: DataFrame, threshold: float, n: int, bands: int, block: int) -> tuple[DataFrame, DataFrame]:
     sk = materialize(sketches(docs, n, bands))
     some = sk.where("content is not null")
     first = [F.first(c).alias(c) for c in ("cid", "size", "keys")]

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 from odd import none, odd, prose, table
+from pyspark import TaskContext
 
 from quillspark.llm import ngram_join as J
 from quillspark.llm.common import grams, text_buffers, words
@@ -182,3 +183,58 @@ def test_a_task_holds_few_prefixes():
     finally:
         tracemalloc.stop()
     assert seen == 6000 * (398 - 199 + 1 + 398 // 16)
+
+
+def test_a_task_holds_one_part(spark):
+    """Parts aren't hashed to tasks, where several would come to one, and each is whole."""
+    parts = 24
+
+    def make(raw):
+        yield pa.record_batch([pa.array([k], pa.int32()) for k in (TaskContext.get().partitionId(), len(raw), raw[0])], ["task", "n", "part"])
+
+    rows = spark.range(0, 40 * parts, 1, 5).selectExpr(f"cast(id % {parts} as int) part", f"unhex(lpad(hex(id % {parts}), 2, '0')) rows")
+    got = J._in_parts(rows, parts, make, "task int, n int, part int").collect()
+    assert sorted((r.task, r.n, r.part) for r in got) == [(k, 40, k) for k in range(parts)]
+
+
+def test_batches_of_long_texts_are_small(spark, monkeypatch):
+    """Batches to Python are bounded by bytes, not by 10,000 rows; the session's own bound comes back."""
+
+    def bounded(make):
+        def checked(*args):
+            run = make(*args)
+
+            def f(batches):
+                def seen():
+                    for batch in batches:
+                        assert batch.nbytes < 8 << 20
+                        yield batch
+
+                return run(seen())
+
+            return f
+
+        return checked
+
+    for name in ("_sketcher", "_setter", "_prefixer", "_of_parts", "_joiner"):
+        monkeypatch.setattr(J, name, bounded(getattr(J, name)))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id doc_id", "array_join(transform(sequence(1, 600), i -> hex(xxhash64(id - id % 2, i - i % 600))), ' ') || ' ' || array_join(transform(sequence(1, 600), i -> hex(xxhash64(id - id % 2, i))), ' ') text")
+    got = rows_of(J.near_duplicates(docs))
+    assert got == {i: (i - i % 2, 1) for i in range(1500)}
+    assert spark.conf.get(key, None) == had
+
+
+def test_a_traversal_of_wide_bitmaps_is_small():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 32, 20_000, dtype=np.uint32)) for _ in range(160)]
+    sets[7] = sets[3]
+    tree = J.Tree(sets, 20_000)
+    tracemalloc.start()
+    try:
+        got = [p for a, b in J.tree_pairs(tree, None, 0.5) for p in zip(a.tolist(), b.tolist())]
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert got == [(3, 7)]
