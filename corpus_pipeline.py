@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, mixing, ngram_join, quality_zstd, token_output
-from quillspark.llm.common import materialize, settle, sized_broadcast, written
+from quillspark.llm.common import materialize, settle, sized_broadcast, small_batches, written
 from quillspark.session import ship
 
 
@@ -30,7 +30,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of benchmark."""
-    return decontam.decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with small_batches(spark):
+        return decontam.decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order. position: the row's place in that order, from 0, as a reader of several
     files doesn't keep theirs."""
     ship(spark)
-    return token_output.token_output(in_written_order(docs), sort=("position",), also=("position",)).orderBy("position")
+    with small_batches(spark):
+        return token_output.token_output(in_written_order(docs), sort=("position",), also=("position",)).orderBy("position")
 
 
 def in_written_order(docs: DataFrame) -> DataFrame:

@@ -98,3 +98,19 @@ def test_empty(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_that_run_python_bound_its_batches(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as P
+    from quillspark.llm.common import BATCH_BYTES
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    had = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(1, "a", "en", "x", 0)], "doc_id bigint, text string, lang string, source string, position bigint")
+    docs.write.parquet(f"{tmp_path}/benchmark.parquet")
+    see = lambda *args, **kw: seen.append(spark.conf.get(key)) or docs
+    monkeypatch.setattr(P.decontam, "decontaminate", see)
+    monkeypatch.setattr(P.token_output, "token_output", see)
+    P.benchmark_decontamination(spark, docs, str(tmp_path))
+    P.token_id_output(spark, docs, str(tmp_path))
+    assert seen == [str(BATCH_BYTES)] * 2 and spark.conf.get(key, None) == had
