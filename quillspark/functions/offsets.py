@@ -7,6 +7,9 @@ analyser's filters by itself.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .analysis import Analyser
 
+#: Matches whose tokens are Python strings at once.
+PIECE = 1 << 14
 _SPAN = StructType([StructField("token", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 
 
@@ -32,12 +37,29 @@ def token_spans(text: Column, analyser: Analyser) -> Column:
 
     @F.arrow_udf(ArrayType(_SPAN))
     def run(texts: pa.Array) -> pa.Array:
-        made = [None if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(t)] for t in texts.to_pylist()]
-        return pa.array(made, pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+        return found_spans(texts, pattern)
 
     return run(text)
 
 
+def found_spans(texts: pa.Array, pattern: regex.Pattern) -> pa.Array:
+    """The matches in each text. Python holds the tokens of PIECE matches, or of one
+    text, at once; all else is in flat arrays."""
+    tokens, starts, ends, first, done = [], array("i"), array("i"), array("i", [0]), []
+    for t in texts:
+        for m in pattern.finditer(t.as_py() or ""):
+            tokens.append(m[0])
+            starts.append(m.start())
+            ends.append(m.end())
+        first.append(len(starts))
+        if len(tokens) >= PIECE:
+            done.append(pa.array(tokens, pa.string()))
+            tokens = []
+    flat = pa.concat_arrays([*done, pa.array(tokens, pa.string())])
+    made = pa.StructArray.from_arrays([flat, *(pa.array(np.frombuffer(x, np.int32)) for x in (starts, ends))], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(first, np.int32)), made, mask=texts.is_null() if texts.null_count else None)
+
+
 def spans(docs: DataFrame, key: str, field: str, analyser: Analyser) -> DataFrame:
     """(key, place, start, end, term): a row for each term of each token; place is the
     token's number before filters. Filters see one token at a time."""

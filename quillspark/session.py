@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to Python; by default it's a number of rows, whatever their length.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(app: str = "quillspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +27,7 @@ def session(app: str = "quillspark", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        _BATCH: str(BATCH_BYTES),
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
@@ -31,7 +35,10 @@ def session(app: str = "quillspark", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable on the executors, once per application, from the folder that they share."""
+    """Makes this package importable on the executors, once per application, from the
+    folder that they share. Bounds the session's Arrow batches, if it doesn't say how."""
+    if not spark._jsparkSession.conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root, packed = Path(__file__).resolve().parent, io.BytesIO()

@@ -175,3 +175,21 @@ def test_stems_by_hand(spark, lang):
     rows = spark.createDataFrame(list(BY_HAND[lang].items()), "word string, want string")
     got = rows.select("word", "want", stem(F.col("word"), lang).alias("got")).collect()
     assert {r.word: r.got for r in got} == BY_HAND[lang]
+
+
+def test_places_in_flat_arrays():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.functions.offsets import found_spans, pattern_of
+
+    p = pattern_of(A.standard_analyser())
+    texts = [None, "", "été 😀 b", "..."] + ["x y"] * 9000
+    got = found_spans(pa.array(texts, pa.string()), p).to_pylist()
+    assert got == [None if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in p.finditer(t)] for t in texts]
+    many = pa.array(["words in a row " * 500] * 100, pa.string())
+    tracemalloc.start()
+    found_spans(many, p)
+    assert tracemalloc.get_traced_memory()[1] < 10e6  # 200,000 tokens; a dictionary for each would be 60 MB
+    tracemalloc.stop()

@@ -233,3 +233,16 @@ def test_analysers_by_field(spark):
 def test_plan_prunes(ix):
     plan = ix.of_field("body", F.col("term") == "fox").select("doc_id")._jdf.queryExecution().toString()
     assert "EqualTo(term,fox)" in plan and "ReadSchema: struct<term:string,doc_id:bigint>" in plan
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """Long rows come to Python few at a time; all of them come."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("words "), 10000).alias("s"))
+    got = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) == 400 and max(got) < 120
