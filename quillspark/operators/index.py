@@ -26,31 +26,39 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyser, standard_analyser
 from ..functions.similarity import Similarity, bm25
+from ..functions.terms import pieces
 from ..session import shared_folder, spread
 
 #: Postings of a term that one task takes; documents that tell which terms have more.
 TASK_ROWS, LOOK = 1 << 20, 10_000
+#: Tokens whose postings are made at once, or those of one document.
+PIECE = 1 << 17
 POSTINGS = "field string, term string, doc_id bigint, tf int, positions array<int>, dl int"
 TERMS = "field string, term string, df bigint, cf bigint"
 
 
 def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, fields = batch.column(0), batch.column(1)
-        toks = batch.column(2)
-        size = np.asarray(pc.fill_null(pc.list_value_length(toks), 0)).astype(np.int64)
-        first = np.r_[0, np.cumsum(size)]
-        d = pa.array(toks.flatten()).dictionary_encode()
-        row = np.repeat(np.arange(len(size)), size)
-        code = np.asarray(d.indices).astype(np.int64)
-        key = row * max(1, len(d.dictionary)) + code
-        order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
-        ends = np.r_[cut, len(key)]
-        place = (np.arange(len(key)) - first[row])[order].astype(np.int32)
-        owner = row[order[cut]]
-        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)) if len(cut) else pa.array([], pa.list_(pa.int32()))
-        yield pa.record_batch([fields.take(pa.array(owner)), d.dictionary.take(pa.array(code[order[cut]])), ids.take(pa.array(owner)), pa.array(np.diff(ends).astype(np.int32)), positions, pa.array(size[owner].astype(np.int32))], schema=_SCHEMA)
+        size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(2)), 0)).astype(np.int64)
+        for i, n in pieces(size, PIECE):
+            yield _postings_of_piece(batch.slice(i, n), size[i : i + n])
+
+
+def _postings_of_piece(batch: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+    """The postings of some documents; size: tokens of each."""
+    ids, fields, toks = batch.columns
+    first = np.r_[0, np.cumsum(size)]
+    d = pa.array(toks.flatten()).dictionary_encode()
+    row = np.repeat(np.arange(len(size)), size)
+    code = np.asarray(d.indices).astype(np.int64)
+    key = row * max(1, len(d.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+    ends = np.r_[cut, len(key)]
+    place = (np.arange(len(key)) - first[row])[order].astype(np.int32)
+    owner = row[order[cut]]
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)) if len(cut) else pa.array([], pa.list_(pa.int32()))
+    return pa.record_batch([fields.take(pa.array(owner)), d.dictionary.take(pa.array(code[order[cut]])), ids.take(pa.array(owner)), pa.array(np.diff(ends).astype(np.int32)), positions, pa.array(size[owner].astype(np.int32))], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([("field", pa.string()), ("term", pa.string()), ("doc_id", pa.int64()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32())), ("dl", pa.int32())])

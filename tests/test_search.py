@@ -235,6 +235,20 @@ def test_plan_prunes(ix):
     assert "EqualTo(term,fox)" in plan and "ReadSchema: struct<term:string,doc_id:bigint>" in plan
 
 
+def test_postings_in_pieces(monkeypatch):
+    """A batch's postings come in pieces of bounded size, the same as at once."""
+    import pyarrow as pa
+
+    toks = [["a", "b", "a"], None, [], ["c"] * 50, ["b"], ["a", "c"] * 3]
+    batch = pa.record_batch([pa.array(range(len(toks)), pa.int64()), pa.array(["f"] * len(toks)), pa.array(toks, pa.list_(pa.string()))], ["doc_id", "field", "toks"])
+    rows = lambda made: sorted(str(r) for b in made for r in b.to_pylist())
+    whole = rows(I._posting_lists(iter([batch])))
+    monkeypatch.setattr(I, "PIECE", 7)
+    made = list(I._posting_lists(iter([batch])))
+    assert rows(made) == whole and len(whole) == 6
+    assert len(made) > 1 and all(len(b) == 1 or sum(r["tf"] for r in b.to_pylist()) <= 7 for b in made)
+
+
 def test_arrow_batches_are_bounded_by_bytes(spark):
     """Long rows come to Python few at a time; all of them come."""
     def sizes(batches):
