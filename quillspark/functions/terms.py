@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -12,13 +13,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
+#: Terms whose results a task remembers, and the most characters of such a term.
+KNOWN, SHORT = 1 << 16, 40
+
+
+def pieces(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows with at most so many items, or one row; size: items of each row."""
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j - i
+        i = j
+
+
 def per_term(f: Callable[[str], str]) -> Callable[[Column], Column]:
     """An array<string> function that applies f to each token."""
+    known: dict[str, str] = {}
+
+    def of(t: str | None) -> str | None:
+        if t is None or len(t) > SHORT:
+            return None if t is None else f(t)
+        made = known.get(t)
+        if made is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            made = known[t] = f(t)
+        return made
 
     @F.arrow_udf(ArrayType(StringType()))
     def run(tokens: pa.Array) -> pa.Array:
         d = tokens.flatten().dictionary_encode()
-        made = pa.array([None if t is None else f(t) for t in d.dictionary.to_pylist()], pa.string())
+        made = pa.array([of(t) for t in d.dictionary.to_pylist()], pa.string())
         offsets = pa.array([0] + pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0)).to_pylist(), pa.int32())
         return pa.ListArray.from_arrays(offsets, made.take(d.indices), mask=tokens.is_null() if tokens.null_count else None)
 
@@ -102,6 +127,18 @@ def porter(word: str) -> str:
 
 def synonyms(table: dict[str, list[str]]) -> Callable[[Column], Column]:
     """After each longest match of a (possibly multi-word) key come its synonyms; matching ignores case."""
+    expand = expander(table)
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(tokens: pa.Array) -> pa.Array:
+        return expand(tokens)
+
+    return run
+
+
+def expander(table: dict[str, list[str]]) -> Callable[[pa.Array], pa.Array]:
+    """The work of synonyms() on an Arrow array of lists. Tokens stay numbers: only
+    where a key may begin, which the distinct tokens tell, is the trie walked."""
     trie: dict = {}
     for key, values in table.items():
         node = trie
@@ -109,22 +146,34 @@ def synonyms(table: dict[str, list[str]]) -> Callable[[Column], Column]:
             node = node.setdefault(w, {})
         node[None] = list(values)
 
-    def expand(tokens: list[str]) -> list[str]:
-        out, i = [], 0
-        while i < len(tokens):
+    added = sorted({v for values in table.values() for v in values})
+    number = {v: k for k, v in enumerate(added)}
+
+    def expand(tokens: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+        d = tokens.flatten().dictionary_encode(null_encoding="encode")
+        words, codes = [(w or "").lower() for w in d.dictionary.to_pylist()], np.asarray(d.indices)
+        ends = np.cumsum(size)
+        starts = np.flatnonzero(np.array([w in trie for w in words], bool)[codes]) if words else np.zeros(0, np.int64)
+        row = np.searchsorted(ends, starts, "right")
+        at, put, done = [], [], 0  # before which token, which synonym; tokens before done are matched
+        for i, r in zip(starts.tolist(), row.tolist()):
+            if i < done:
+                continue
             node, best, found = trie, 0, []
-            for j in range(i, len(tokens)):
-                node = node.get((tokens[j] or "").lower())
+            for j in range(i, int(ends[r])):
+                node = node.get(words[codes[j]])
                 if node is None:
                     break
                 if None in node:
                     best, found = j - i + 1, node[None]
-            out += tokens[i : i + max(1, best)] + found
-            i += max(1, best)
-        return out
-
-    @F.arrow_udf(ArrayType(StringType()))
-    def run(tokens: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else expand(t) for t in tokens.to_pylist()], pa.list_(pa.string()))
-
-    return run
+            done = i + max(1, best)
+            at += [done] * len(found)
+            put += [number[v] for v in found]
+        size += np.bincount(np.searchsorted(ends, np.array(at, np.int64) - 1, "right"), minlength=len(size))
+        made = np.insert(codes.astype(np.int64), np.array(at, np.int64), np.array(put, np.int64) + len(words))
+        values = pa.concat_arrays([d.dictionary.cast(pa.string()), pa.array(added, pa.string())]).take(pa.array(made))
+        offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values, mask=tokens.is_null() if tokens.null_count else None)
+
+    return expand

@@ -177,6 +177,37 @@ def test_stems_by_hand(spark, lang):
     assert {r.word: r.got for r in got} == BY_HAND[lang]
 
 
+def brute_synonyms(table, tokens):
+    keys = {tuple(k.lower().split()): v for k, v in table.items()}
+    out, i = [], 0
+    while i < len(tokens):
+        fits = [n for n in range(1, len(tokens) - i + 1) if tuple((t or "").lower() for t in tokens[i : i + n]) in keys]
+        n = max(fits, default=1)
+        out += tokens[i : i + n] + (keys[tuple((t or "").lower() for t in tokens[i : i + n])] if fits else [])
+        i += n
+    return out
+
+
+def test_synonyms_of_flat_tokens():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.functions.terms import expander
+
+    rng, table = random.Random(5), {"a": ["z", "y"], "a b": ["x"], "A b a b": ["w", "a"], "c c": [], "d": ["z"]}
+    for words in (["a", "B", "c"], ["a", "b", "A", "C", "d", "e", None]):
+        rows = [rng.choice([None, [], [rng.choice(words) for _ in range(rng.randint(0, 12))]]) for _ in range(300)]
+        got = expander(table)(pa.array(rows, pa.list_(pa.string())))
+        assert got.to_pylist() == [None if r is None else brute_synonyms(table, r) for r in rows]
+    assert expander(table)(pa.array([None, []], pa.list_(pa.string()))).to_pylist() == [None, []]
+    many = pa.array([["common", "words"] * 500] * 200, pa.list_(pa.string()))
+    tracemalloc.start()
+    expander(table)(many)
+    assert tracemalloc.get_traced_memory()[1] < 10e6  # 200,000 tokens; as strings of Python they'd be more
+    tracemalloc.stop()
+
+
 def test_places_in_flat_arrays():
     import tracemalloc
 
