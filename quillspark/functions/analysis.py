@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stem import LANGUAGES, stem
+from .stem import LANGUAGES, stem, stemmer
 from .stopwords import STOP_WORDS
 from .terms import fold_accents, per_term, porter, synonyms
 
@@ -246,9 +246,9 @@ def language_analyser(lang: str) -> Analyser:
     code = lang.replace("_", "-").split("-")[0].lower()
     if code not in LANGUAGES:
         raise ValueError(f"no analyser for language {lang}")
-    stemming = porter_stem if code == "en" else each(lambda t: stem(t, code))
+    stemming = (porter_stem,) if code == "en" else () if code in ("zh", "ja", "ko") else (per_term(stemmer(code)),)
     first = cjk_bigrams if code in ("zh", "ja", "ko") else standard
-    return Analyser(first, (lowercase, stop(STOP_WORDS[code]), stemming), name=code)
+    return Analyser(first, (lowercase, stop(STOP_WORDS[code]), *stemming), name=code)
 
 
 whitespace_analyser = Analyser(whitespace, name="whitespace")
@@ -260,7 +260,7 @@ def by_language(text: Column, lang: Column, languages: Iterable[str] = ("en", "f
     """Each row's tokens by the analyser of its language; the standard one for others."""
     out = None
     for code in languages:
-        toks = language_analyser(code)(text)
+        toks = language_analyser(code)(F.when(lang == code, text))  # Python's part of it runs whatever the language
         out = F.when(lang == code, toks) if out is None else out.when(lang == code, toks)
     other = standard_analyser()(text)
     return other if out is None else out.otherwise(other)

@@ -177,6 +177,28 @@ def test_stems_by_hand(spark, lang):
     assert {r.word: r.got for r in got} == BY_HAND[lang]
 
 
+@pytest.mark.parametrize("lang", sorted(_STEPS))
+def test_language_analysers_stem_distinct_tokens(spark, lang):
+    """Each distinct token once, without a regular expression over each token; the same stems."""
+    from quillspark.functions.stem import stemmer
+
+    rng = random.Random(11)
+    ends = [s for strip, swap in _STEPS[lang] for s in [*strip, *swap]]
+    letters = "".join(sorted(set("".join(ends)))) + "äöüßÉ7"
+    made = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 6))) + "".join(rng.choice(ends) for _ in range(rng.randint(0, 3))) for _ in range(2000)})
+    rows = spark.createDataFrame([(w,) for w in made], "w string").select("w", stem(F.col("w"), lang).alias("s")).collect()
+    of = stemmer(lang)
+    assert [(r.w, r.s) for r in rows] == [(r.w, of(r.w)) for r in rows]
+    plan = spark.createDataFrame([("a b",)], "s string").select(A.language_analyser(lang)(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "RLIKE" not in plan
+
+
+def test_by_language(spark):
+    rows = spark.createDataFrame([("les chevaux", "fr"), ("die Häuser", "de"), ("the Häuser", None), (None, "es"), ("running", "en")], "s string, lang string")
+    got = [r.t for r in rows.select(A.by_language(F.col("s"), F.col("lang")).alias("t")).collect()]
+    assert got == [["cheval"], ["haus"], ["häuser"], None, ["run"]]
+
+
 def brute_synonyms(table, tokens):
     keys = {tuple(k.lower().split()): v for k, v in table.items()}
     out, i = [], 0
